@@ -1,0 +1,21 @@
+"""Finding groups that are too large for one task."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..sources.scratch import settle
+
+
+def hot_groups(df: DataFrame, by: Sequence[str], limit: int) -> DataFrame | None:
+    """Groups of more than ``limit`` rows as a settled table (keys, ``n_hot``), or None.
+
+    The counts combine on the map side. At most rows/limit groups can be hot, so the
+    table is small against the data; Spark decides from its real size whether a join with
+    it is broadcast.
+    """
+    hot = settle(df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_hot")).where(F.col("n_hot") > limit))
+    return None if hot.isEmpty() else hot
