@@ -39,11 +39,11 @@ from .tables import (
     REGIONS_SQL,
     SCHOOLS_SQL,
     STUDENTS_SQL,
-    places,
     regions,
     schools,
     students,
     table,
+    with_country,
     with_tables,
 )
 
@@ -179,7 +179,7 @@ def country_harmonise(spark, sf_dir):
 def _messy_country(spark, sf_dir):
     """Country codes in lower case, padded with a space and a tab."""
     lines = table(spark, sf_dir, "lineitem").select("l_suppkey")
-    named = join_on(lines, places(spark, sf_dir), ["l_suppkey"], "inner")
+    named = with_country(lines, spark, sf_dir)
     return named.select(F.concat(F.lit(" "), F.lower("country"), F.lit("\t")).alias("country"))
 
 
@@ -426,14 +426,16 @@ def code_difference(spark, sf_dir):
 
 
 @query("append_rows", """
-SELECT c_nationkey AS nationkey, count(*) AS n_customers, CAST(NULL AS BIGINT) AS n_suppliers FROM customer GROUP BY 1
-UNION ALL SELECT s_nationkey, NULL, count(*) FROM supplier GROUP BY 1
+SELECT c_nationkey AS nationkey, sum(c_acctbal) > 0 AS customers_solvent, CAST(NULL AS BOOLEAN) AS suppliers_solvent
+FROM customer GROUP BY 1
+UNION ALL SELECT s_nationkey, NULL, sum(s_acctbal) > 0 FROM supplier GROUP BY 1
 """)
 def append_by_name(spark, sf_dir):
-    customers = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nationkey"))
-    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nationkey"))
+    customers = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("nationkey"))
+    suppliers = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("nationkey"))
     return append_rows(
-        row_counts(customers, ["nationkey"], "n_customers"), row_counts(suppliers, ["nationkey"], "n_suppliers")
+        customers.agg((F.sum("c_acctbal") > 0).alias("customers_solvent")),
+        suppliers.agg((F.sum("s_acctbal") > 0).alias("suppliers_solvent")),
     )
 
 

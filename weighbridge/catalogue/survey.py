@@ -92,12 +92,13 @@ def income_coverage(spark, sf_dir):
 @query("level_order", with_tables("""
 SELECT world_bank_income_group, count(*) AS n,
        CASE world_bank_income_group WHEN 'Low income' THEN 1 WHEN 'Lower-middle income' THEN 2
-            WHEN 'Upper-middle income' THEN 3 WHEN 'High income' THEN 4 END::BIGINT AS place
+            WHEN 'Upper-middle income' THEN 3 WHEN 'High income' THEN 4 END::DOUBLE AS place
 FROM student JOIN region_income USING (country) GROUP BY 1
 """, REGIONS_SQL, STUDENTS_SQL))
 def level_order(spark, sf_dir):
     counts = row_counts(_regional(spark, sf_dir), ["world_bank_income_group"])
-    return counts.withColumn("place", level_index(F.col("world_bank_income_group"), INCOME_LEVELS)).orderBy("place")
+    place = level_index(F.col("world_bank_income_group"), INCOME_LEVELS)
+    return counts.withColumn("place", place.cast("double")).orderBy(F.asc_nulls_last("place"))
 
 
 def _cuts_sql(values):
@@ -435,10 +436,9 @@ enriched AS (
 
 
 def _enriched(spark, sf_dir, years=(LATEST,)):
-    return modelling_table(
-        students(spark, sf_dir, background=True), schools(spark, sf_dir), gdp(spark, sf_dir),
-        expenditure(spark, sf_dir), gender_index(spark, sf_dir), years,
-    )
+    """Context tables are stored first, as they would be in use, so that their size is known."""
+    context = [settle(make(spark, sf_dir)) for make in (schools, gdp, expenditure, gender_index)]
+    return modelling_table(students(spark, sf_dir, background=True), *context, years)
 
 
 @query("enriched", with_tables(
@@ -461,7 +461,8 @@ _CORR_COLUMNS = ("avg_score", *FEATURES)
         for i, a in enumerate(_CORR_COLUMNS) for b in _CORR_COLUMNS[i:]
     ), STUDENTS_SQL, SCHOOLS_SQL, INDICATORS_SQL, _ENRICHED_SQL))
 def corr_long(spark, sf_dir):
-    return rounded(correlations(_enriched(spark, sf_dir), _CORR_COLUMNS))
+    stored = settle(_enriched(spark, sf_dir).select(*_CORR_COLUMNS))
+    return rounded(correlations(stored, _CORR_COLUMNS))
 
 
 _SPLIT_SQL = """

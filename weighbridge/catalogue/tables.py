@@ -9,25 +9,35 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import row_mean
-from ..operators.joins import join_on
+from ..operators.joins import join_on, star
+
+
+_SCHEMAS: dict[tuple[str, str], T.StructType] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A test table. File footers are read for the schema once per session and table."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
 def _text_key(*names: str) -> Column:
     return F.concat_ws("-", *[F.col(n).cast("string") for n in names])
 
 
-def places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """supplier key -> country."""
-    supplier = table(spark, sf_dir, "supplier").withColumnRenamed("s_nationkey", "n_nationkey")
-    return join_on(supplier, table(spark, sf_dir, "nation"), ["n_nationkey"], "inner").select(
-        F.col("s_suppkey").alias("l_suppkey"), F.col("n_name").alias("country"), "s_acctbal"
+def with_country(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Add the supplier's balance and country to rows that carry ``l_suppkey``."""
+    supplier = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("n_nationkey"), "s_acctbal"
     )
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("country"))
+    return star(df, (supplier, ["l_suppkey"]), (nation, ["n_nationkey"]), how="inner")
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,14 +68,13 @@ region_income AS (
 
 def students(spark: SparkSession, sf_dir: str, background: bool = False) -> DataFrame:
     """One row per shipped line. ``escs`` needs two more joins, so it is optional."""
-    lines = table(spark, sf_dir, "lineitem")
-    df = join_on(lines, places(spark, sf_dir).drop("s_acctbal"), ["l_suppkey"], "inner")
+    df = with_country(table(spark, sf_dir, "lineitem"), spark, sf_dir)
     if background:
         orders = table(spark, sf_dir, "orders").select(
             F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")
         )
         customers = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
-        df = join_on(join_on(df, orders, ["l_orderkey"], "inner"), customers, ["c_custkey"], "inner")
+        df = star(df, (orders, ["l_orderkey"]), (customers, ["c_custkey"]), how="inner")
     year, price, quantity = F.year("l_shipdate"), F.col("l_extendedprice"), F.col("l_quantity")
     line, flag = F.col("l_linenumber"), F.col("l_returnflag")
     out = df.select(
@@ -121,7 +130,7 @@ def schools(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     balance, year = F.col("s_acctbal"), F.col("year")
-    return join_on(per_year, places(spark, sf_dir), ["l_suppkey"], "inner").select(
+    return with_country(per_year, spark, sf_dir).select(
         "country",
         "year",
         F.col("l_suppkey").cast("string").alias("school_id"),

@@ -53,14 +53,15 @@ def text_list(df: DataFrame, by: Sequence[str], value: str, count_name: str, lis
 def equal_width_counts(df: DataFrame, value: str, bins: int = 30) -> DataFrame:
     """Counts per equal-width bin over [min, max]; the maximum falls in the last bin.
 
-    The two limits come from scalar subqueries; the counting then combines per task.
+    Both limits come from one scalar subquery; the counting then combines per task.
     """
-    x = F.col(value)
+    x, low, high = F.col(value), F.col("limits.low"), F.col("limits.high")
     data = df.where(has_number(x)).select(value)
-    low, high = data.agg(F.min(value)).scalar(), data.agg(F.max(value)).scalar()
+    limits = data.agg(F.min(value).alias("low"), F.max(value).alias("high")).select(F.struct("low", "high")).scalar()
     place = F.floor(F.try_divide((x - low) * bins, high - low)) + 1
     return (
-        data.select(F.least(F.coalesce(place, F.lit(1)), F.lit(bins)).cast("int").alias("bin"))
+        data.withColumn("limits", limits)
+        .select(F.least(F.coalesce(place, F.lit(1)), F.lit(bins)).cast("int").alias("bin"))
         .groupBy("bin")
         .agg(F.count(F.lit(1)).alias("n"))
     )

@@ -50,6 +50,10 @@ def contains_all(inner: DataFrame, outer: DataFrame, key: str) -> DataFrame:
     return missing.agg((F.count(F.lit(1)) == 0).alias("all_present"))
 
 
-def star(fact: DataFrame, *dimensions: tuple[DataFrame, Sequence[str]]) -> DataFrame:
-    """Left-join each (dimension, keys) pair onto the fact in turn."""
-    return reduce(lambda df, d: join_on(df, d[0], d[1], "left"), dimensions, fact)
+def star(fact: DataFrame, *dimensions: tuple[DataFrame, Sequence[str]], how: str = "left") -> DataFrame:
+    """Join each (dimension, keys) pair onto the fact in turn.
+
+    One stored table per step: the size of a single scan is known, while that of a join
+    of dimensions is estimated as a product and would hide that it is small.
+    """
+    return reduce(lambda df, d: join_on(df, d[0], d[1], how), dimensions, fact)

@@ -29,7 +29,7 @@ from .hot import hot_groups
 from .joins import join_on
 from .reshape import append_rows
 
-HOT_ROWS = 1_000_000
+HOT_ROWS = 200_000
 _SKETCH_ACCURACY = 10_000
 _SLICES = 1024
 

@@ -57,20 +57,30 @@ def fit_band(df: DataFrame, x: str, y: str, level: float, by: Sequence[str] = ()
 def correlations(df: DataFrame, columns: Sequence[str], upper: bool = True) -> DataFrame:
     """Pearson correlations over complete cases as (var1, var2, r).
 
-    All pairs are computed in one aggregate; ``upper`` keeps the upper triangle with the
-    diagonal, otherwise both halves are listed.
+    Two light passes: means, then sums of centred products. Plain sums stay inside
+    generated code where one built-in ``corr`` per pair does not, and centring keeps them
+    accurate. ``df`` is read twice. A constant column has no correlation (NULL).
+    ``upper`` keeps the upper triangle with the diagonal, otherwise both halves are listed.
     """
-    pairs = list(combinations_with_replacement(range(len(columns)), 2))
-    row = complete_cases(df.select(*columns), columns).agg(
-        *[F.corr(columns[i], columns[j]).alias(f"r_{i}_{j}") for i, j in pairs]
-    )
-    listed = pairs if upper else [(i, j) for i in range(len(columns)) for j in range(len(columns))]
+    rows = complete_cases(df.select(*columns), columns)
+    places = range(len(columns))
+    means = rows.select(F.struct(*[
+        F.when(F.min(c) < F.max(c), F.avg(c)).alias(f"m{i}") for i, c in enumerate(columns)
+    ])).scalar()
+    centred = rows.withColumn("__means", means).select(*[
+        (F.col(c) - F.col(f"__means.m{i}")).alias(f"z{i}") for i, c in enumerate(columns)
+    ])
+    sums = centred.agg(*[
+        F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"s_{i}_{j}")
+        for i, j in combinations_with_replacement(places, 2)
+    ])
+
+    def r(i: int, j: int) -> Column:
+        low, high = min(i, j), max(i, j)
+        return F.try_divide(F.col(f"s_{low}_{high}"), F.sqrt(F.col(f"s_{i}_{i}")) * F.sqrt(F.col(f"s_{j}_{j}")))
+
     cells = F.array(*[
-        F.struct(
-            F.lit(columns[i]).alias("var1"),
-            F.lit(columns[j]).alias("var2"),
-            F.col(f"r_{min(i, j)}_{max(i, j)}").alias("r"),
-        )
-        for i, j in listed
+        F.struct(F.lit(columns[i]).alias("var1"), F.lit(columns[j]).alias("var2"), r(i, j).alias("r"))
+        for i in places for j in places if i <= j or not upper
     ])
-    return row.select(F.inline(cells))
+    return sums.select(F.inline(cells))

@@ -19,7 +19,7 @@ _KEY = "spark.checkpoint.dir"
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder; a local one only for a local master without it."""
     context = spark.sparkContext
-    folder = context.getConf().get(_KEY) or context.getCheckpointDir()
+    folder = spark.conf.get(_KEY, None) or context.getConf().get(_KEY) or context.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     if not context.master.startswith("local"):
