@@ -265,7 +265,7 @@ _T80 = ("3.077683537", "1.885618083", "1.637744354", "1.533206274", "1.475884049
 @query("fit_band", with_tables("""
 , t AS (SELECT unnest([""" + ", ".join(str(i) for i in range(1, 11)) + "]) AS df, unnest([" + ", ".join(_T80) + """]) AS t),
 fits AS (
-  SELECT world_bank_income_group AS grp, regr_count(y, x) AS n, regr_slope(y, x) AS b, regr_intercept(y, x) AS a,
+  SELECT world_bank_income_group AS grp, CAST(regr_count(y, x) AS BIGINT) AS n, regr_slope(y, x) AS b, regr_intercept(y, x) AS a,
          regr_avgx(y, x) AS mx, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy, regr_r2(y, x) AS r2
   FROM (SELECT *, weighted_avg_score AS y, percentage_education_on_gdp AS x FROM points) GROUP BY 1),
 half AS (
