@@ -426,16 +426,16 @@ def code_difference(spark, sf_dir):
 
 
 @query("append_rows", """
-SELECT c_nationkey AS nationkey, sum(c_acctbal) > 0 AS customers_solvent, CAST(NULL AS BOOLEAN) AS suppliers_solvent
+SELECT c_nationkey AS nationkey, max(c_acctbal) AS customer_balance, CAST(NULL AS DOUBLE) AS supplier_balance
 FROM customer GROUP BY 1
-UNION ALL SELECT s_nationkey, NULL, sum(s_acctbal) > 0 FROM supplier GROUP BY 1
+UNION ALL SELECT s_nationkey, NULL, max(s_acctbal) FROM supplier GROUP BY 1
 """)
 def append_by_name(spark, sf_dir):
     customers = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("nationkey"))
     suppliers = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("nationkey"))
     return append_rows(
-        customers.agg((F.sum("c_acctbal") > 0).alias("customers_solvent")),
-        suppliers.agg((F.sum("s_acctbal") > 0).alias("suppliers_solvent")),
+        customers.agg(F.max("c_acctbal").alias("customer_balance")),
+        suppliers.agg(F.max("s_acctbal").alias("supplier_balance")),
     )
 
 
@@ -450,21 +450,23 @@ def spread_gather(spark, sf_dir):
 
 
 @query("latest_with_ties", """
-SELECT o_custkey, o_orderkey, o_orderdate FROM orders
-QUALIFY rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC) = 1
+SELECT o_custkey, o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate FROM orders
+QUALIFY rank() OVER (PARTITION BY o_custkey ORDER BY orders.o_orderdate DESC) = 1
 """)
 def newest_orders(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
-    return latest_with_ties(orders, ["o_custkey"], "o_orderdate")
+    newest = latest_with_ties(orders, ["o_custkey"], "o_orderdate")
+    return newest.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
 
 
 @query("latest_one", """
-SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice FROM orders
-QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1
+SELECT o_custkey, o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_totalprice FROM orders
+QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY orders.o_orderdate DESC, o_orderkey DESC) = 1
 """)
 def newest_order(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
-    return latest_one(orders, ["o_custkey"], "o_orderdate", ["o_orderkey"])
+    newest = latest_one(orders, ["o_custkey"], "o_orderdate", ["o_orderkey"])
+    return newest.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
 
 
 @query("groups_of_size", """

@@ -28,14 +28,26 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return joined.drop(*[f"__right_{k}" for k in keys])
 
 
-def keep_matching(left: DataFrame, right: DataFrame, keys: Sequence[str], null_safe: bool = True) -> DataFrame:
-    """Rows of ``left`` whose key occurs in ``right``."""
-    return join_on(left, right.select(*keys), keys, "left_semi", null_safe)
+def _key_set(right: DataFrame, keys: Sequence[str], unique: bool) -> DataFrame:
+    """The right side's keys, each once: a key with very many rows ships one per task.
+
+    Semi and anti joins can split a hot key on the left only, so it must not be hot here.
+    """
+    return right.select(*keys) if unique else right.select(*keys).distinct()
+
+
+def keep_matching(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], null_safe: bool = True, unique: bool = False
+) -> DataFrame:
+    """Rows of ``left`` whose key occurs in ``right`` (``unique``: its keys do not repeat)."""
+    return join_on(left, _key_set(right, keys, unique), keys, "left_semi", null_safe)
 
 
-def keep_unmatched(left: DataFrame, right: DataFrame, keys: Sequence[str], null_safe: bool = True) -> DataFrame:
+def keep_unmatched(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], null_safe: bool = True, unique: bool = False
+) -> DataFrame:
     """Rows of ``left`` whose key does not occur in ``right``."""
-    return join_on(left, right.select(*keys), keys, "left_anti", null_safe)
+    return join_on(left, _key_set(right, keys, unique), keys, "left_anti", null_safe)
 
 
 def remove_rows(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -46,7 +58,7 @@ def remove_rows(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def contains_all(inner: DataFrame, outer: DataFrame, key: str) -> DataFrame:
     """One row ``all_present``: does every ``key`` of ``inner`` occur in ``outer``?"""
-    missing = keep_unmatched(inner.select(key).distinct(), outer.select(key).distinct(), [key])
+    missing = keep_unmatched(inner.select(key).distinct(), outer, [key])
     return missing.agg((F.count(F.lit(1)) == 0).alias("all_present"))
 
 

@@ -17,7 +17,7 @@ def latest_with_ties(df: DataFrame, by: Sequence[str], order: str) -> DataFrame:
     one task the way a ranking window would.
     """
     newest = df.where(F.col(order).isNotNull()).groupBy(*by).agg(F.max(order).alias(order))
-    return keep_matching(df, newest, [*by, order])
+    return keep_matching(df, newest, [*by, order], unique=True)
 
 
 def latest_one(df: DataFrame, by: Sequence[str], order: str, tiebreak: Sequence[str] = ()) -> DataFrame:
@@ -32,7 +32,7 @@ def latest_one(df: DataFrame, by: Sequence[str], order: str, tiebreak: Sequence[
 def groups_of_size(df: DataFrame, by: Sequence[str], size: int) -> DataFrame:
     """Rows of the groups that have exactly ``size`` rows."""
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") == size)
-    return keep_matching(df, sizes, by)
+    return keep_matching(df, sizes, by, unique=True)
 
 
 def display_order(df: DataFrame, order: Sequence, by: Sequence[str] = (), name: str = "display_order") -> DataFrame:
