@@ -3,7 +3,7 @@
 BENCH_SF_DIR   folder of the Parquet tables (default /root/testdata/sf0.1)
 BENCH_CPUS     local cores (default 8)
 BENCH_QUERIES  comma-separated names, or "all" (default: the headline list)
-BENCH_RUNS     timed runs after one warm-up, median reported (default 3)
+BENCH_RUNS     timed runs after one warm-up, median reported (default 2)
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     chosen = os.environ.get("BENCH_QUERIES", "")
     names = list(QUERIES) if chosen == "all" else [n for n in chosen.split(",") if n] or HEADLINE
     spark = local_session(cpus, "bench")

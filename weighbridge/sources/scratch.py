@@ -20,12 +20,13 @@ def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder; a local one only for a local master without it."""
     context = spark.sparkContext
     folder = spark.conf.get(_KEY, None) or context.getConf().get(_KEY) or context.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not context.master.startswith("local"):
-        raise ValueError(f"set {_KEY} to a folder that all executors can reach")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="weighbridge-"))
-    return context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError(f"set {_KEY} to a folder that all executors can reach")
+        folder = tempfile.mkdtemp(prefix="weighbridge-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
 
 
 def settle(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
