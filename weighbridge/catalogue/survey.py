@@ -231,7 +231,10 @@ points AS (SELECT * FROM newest JOIN spending USING (country) JOIN region_income
 
 
 def _spending_points(spark, sf_dir):
-    return spending_points(students(spark, sf_dir), expenditure(spark, sf_dir), regions(spark, sf_dir), LATEST)
+    """Spending is read twice (newest year, then its rows), so it is stored first."""
+    return spending_points(
+        students(spark, sf_dir), settle(expenditure(spark, sf_dir)), regions(spark, sf_dir), LATEST
+    )
 
 
 def _fit_row(fit):

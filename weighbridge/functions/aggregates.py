@@ -31,11 +31,13 @@ def weighted_parts(x: Column, w: Column) -> list[Column]:
     ]
 
 
-def weighted_mean_of_parts(where: Column) -> Column:
+def weighted_mean_of_parts(where: Column, strict_weight: bool = True) -> Column:
     """Weighted mean from ``weighted_parts`` columns of the rows where ``where`` holds."""
     mean = F.try_divide(
         F.sum(F.when(where, F.col("part_xw"))), F.sum(F.when(where, F.col("part_w")))
     )
+    if not strict_weight:
+        return mean
     unweighted = F.sum(F.when(where, F.col("part_unweighted")).otherwise(F.lit(0)))
     return F.when(unweighted == 0, mean)
 

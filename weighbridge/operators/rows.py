@@ -9,12 +9,13 @@ from operator import and_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import is_missing
+from ..functions import is_float
 
 
 def require(df: DataFrame, *names: str) -> DataFrame:
     """Rows where every named column has a value (NaN counts as missing)."""
-    tests = [F.col(f"`{n}`").isNotNull() & ~is_missing(df, n) for n in names]
+    tests = [F.col(f"`{n}`").isNotNull() for n in names]
+    tests += [~F.isnan(F.col(f"`{n}`")) for n in names if is_float(df, n)]
     return df.where(reduce(and_, tests)) if tests else df
 
 

@@ -34,15 +34,16 @@ def level_gap(
 ) -> DataFrame:
     """Weighted means of levels ``a`` and ``b`` per group and ``gap`` = b - a.
 
-    Groups that lack one of the two are left out. Both means come from one conditional
-    aggregate: a single shuffle of one partial row per group and task.
+    Rows without value or weight do not count, and groups that lack one of the two levels
+    are left out. Both means come from one conditional aggregate: a single shuffle of one
+    partial row per group and task. Missing values are skipped inside the aggregate, as a
+    filter on a computed score would evaluate it twice per row.
     """
     name_a, name_b = names or (a, b)
-    rows = require(df, value, weight).where(F.col(level).isin(a, b))
     x, w = F.col(value), F.col(weight)
-    wide = rows.groupBy(*by).agg(
-        weighted_mean(F.when(F.col(level) == a, x), w).alias(name_a),
-        weighted_mean(F.when(F.col(level) == b, x), w).alias(name_b),
+    wide = df.where(F.col(level).isin(a, b)).groupBy(*by).agg(
+        weighted_mean(F.when(F.col(level) == a, x), w, strict_weight=False).alias(name_a),
+        weighted_mean(F.when(F.col(level) == b, x), w, strict_weight=False).alias(name_b),
     )
     return require(wide, name_a, name_b).withColumn("gap", F.col(name_b) - F.col(name_a))
 
@@ -87,7 +88,7 @@ def sector_gap(
     students, and a very large school is one row.
     """
     keys = [roles.school_key] if keys is None else list(keys)
-    rows = require(students.where(F.col(roles.year) == year), roles.score, roles.weight)
+    rows = students.where(F.col(roles.year) == year)
     carried = list(dict.fromkeys([*keys, roles.country]))
     parts = rows.groupBy(*carried).agg(*weighted_parts(F.col(roles.score), F.col(roles.weight)))
     sector = F.col(roles.sector)
@@ -96,8 +97,8 @@ def sector_gap(
         join_on(parts, labelled, keys, "inner")
         .groupBy(roles.country)
         .agg(
-            weighted_mean_of_parts(sector == "public").alias("public"),
-            weighted_mean_of_parts(sector == "private").alias("private"),
+            weighted_mean_of_parts(sector == "public", strict_weight=False).alias("public"),
+            weighted_mean_of_parts(sector == "private", strict_weight=False).alias("private"),
         )
     )
     gaps = require(means, "public", "private").withColumn("gap", F.col("private") - F.col("public"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import GAP_FLOOR, PARITY_RANGE
-from ..functions import at_most, country_code, lower_label, parity_zone, plain_mean, sign_zone, weighted_mean
+from ..functions import at_most, country_code, has_number, lower_label, parity_zone, plain_mean, sign_zone, weighted_mean
 from ..operators.joins import join_on
 from ..operators.pick import latest_one, latest_with_ties
 from ..operators.rows import require, up_to
@@ -25,9 +25,16 @@ def latest_spending(expenditure: DataFrame, year, roles: Roles = DEFAULT) -> Dat
 
 
 def _scores(students: DataFrame, by: list[str], roles: Roles) -> DataFrame:
-    return require(students, roles.score, roles.weight).groupBy(*by).agg(
-        weighted_mean(F.col(roles.score), F.col(roles.weight)).alias("weighted_avg_score")
+    """Weighted score per group over rows with score and weight; groups without any are left out.
+
+    Skipped inside the aggregate: a filter would compute a derived score twice per row.
+    """
+    x, w = F.col(roles.score), F.col(roles.weight)
+    means = students.groupBy(*by).agg(
+        weighted_mean(x, w, strict_weight=False).alias("weighted_avg_score"),
+        F.count_if(has_number(x) & has_number(w)).alias("__usable"),
     )
+    return means.where(F.col("__usable") > 0).drop("__usable")
 
 
 def _named(df: DataFrame, regions: DataFrame, roles: Roles) -> DataFrame:
