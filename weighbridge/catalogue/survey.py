@@ -139,7 +139,7 @@ def quantile_band(spark, sf_dir):
     return quantile_bands(stored, BANDED, ["country", "year"]).select("row_id", *[f"{v}_quartile" for v in BANDED])
 
 
-def _banded(spark, sf_dir, *more):
+def _banded(spark, sf_dir):
     values = ("escs", "avg_score")
     stored = _stored_students(spark, sf_dir, "country", "year", "stu_wgt", *values)
     return quantile_bands(stored, values, ["country", "year"])

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import join_on, keep_matching
+from .joins import keep_matching
 
 
 def latest_with_ties(df: DataFrame, by: Sequence[str], order: str) -> DataFrame:
