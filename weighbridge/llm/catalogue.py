@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -27,3 +28,161 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+_OP5_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), e AS (
+  SELECT *, replace(replace(replace(text, '\', '\b'), '###', '\h'), '</turn>', '\t') AS et,
+    replace(replace(replace(replace(role, '\', '\b'), '###', '\h'), '</turn>', '\t'), ':', '\c') AS er,
+    row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), f AS (
+  SELECT *, sum(length(er) + length(et) + 14) OVER (PARTITION BY conv_id ORDER BY i) AS upto FROM e
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(upto) FILTER (role = 'assistant' OR i = n)::BIGINT AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
+
+@query("op5_chat_format", _OP5_SQL)
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import digests, examples
+
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.range(2).selectExpr("-7L AS conv_id", "id AS turn", "if(id = 0, 'user', 'assistant') AS role").withColumn("text", F.lit(said))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return digests(examples(turns.unionByName(extra)))
+
+
+def held_out(modulus: int, remainder: int):
+    return F.crc32(F.col("doc_id").cast("string")) % modulus == remainder
+
+
+@query("op3_quality")
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score, train
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = score(docs, train(docs, labels.filter(~held_out(5, 0))))
+    return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op10_language_id")
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify, learn
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, learn(docs.filter(~held_out(3, 1))))
+    return found.select("doc_id", held_out(3, 1).alias("held_out"), "lang_pred", "score")
+
+
+_OP8_SQL = """
+WITH v AS (
+  SELECT vec_id, min(list_transform(embedding, x -> floor(64 * x::DOUBLE)::BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), i -> q.v[i] * c.v[i]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+@query("op8_topk", _OP8_SQL)
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    finite = "forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('Infinity'))"
+    rows = table(spark, sf_dir, "embeddings").filter(finite)
+    vectors = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.expr("transform(embedding, x -> floor(64 * double(x)))").alias("v"))
+    return top_k(vectors, F.col("vec_id") % 20 == 0)
+
+
+@query("op2_decontaminate")
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_sentencepiece")
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import encode, load
+
+    found = encode(table(spark, sf_dir, "documents"), load())
+    return found.select("doc_id", F.size("ids").alias("n_pieces"), "ids", "round_trip")
+
+
+_OP7_SQL = """
+WITH p AS (
+  SELECT DISTINCT page_id, url, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS payload_digest,
+    strlen(coalesce(html, '')) AS payload_bytes FROM pages
+), f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN first < page_id OR (page_id IS NULL AND first IS NOT NULL) THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first < page_id OR (page_id IS NULL AND first IS NOT NULL) THEN first END AS refers_to
+FROM f
+"""
+
+
+@query("op7_warc", _OP7_SQL)
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import page_number, round_trip
+
+    rows = round_trip(table(spark, sf_dir, "pages"))
+    size = F.regexp_extract("metadata.block", r"payload-bytes: (\d+)", 1).cast("long")
+    return rows.select(
+        page_number(F.col("capture")).alias("page_id"), F.coalesce("response.payload_bytes", size).alias("payload_bytes"),
+        F.coalesce("response.payload_sha256", "response.digest").alias("payload_digest"), F.col("response.type").alias("record_type"),
+        page_number(F.col("response.refers_to")).alias("refers_to"),
+    )
+
+
+@query("op4_suffix_dedup")
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import removal_report
+
+    return removal_report(table(spark, sf_dir, "documents"), length=400, keep_first=False)
+
+
+def _op9_sql() -> str:
+    from .licences import template_pairs
+
+    values = ", ".join(f"('{licence}', {number}, {size}, '{pair}')" for licence, number, size, pair in template_pairs())
+    return rf"""
+WITH t(licence, template, size, pair) AS (VALUES {values}),
+u AS (
+  SELECT DISTINCT doc_id, unit FROM (
+    SELECT doc_id, text AS unit FROM documents
+    UNION ALL SELECT doc_id, unnest(string_split(text, chr(10))) FROM documents
+    UNION ALL SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?:])\s+', '\1' || chr(10), 'g'), chr(10))) FROM documents
+  ) WHERE doc_id IS NOT NULL
+), w AS (
+  SELECT doc_id, unit, list_filter(string_split(regexp_replace(lower(unit), '[^a-z0-9]+', ' ', 'g'), ' '), x -> x <> '') AS words FROM u
+), p AS (
+  SELECT doc_id, unit, list_distinct(list_transform(range(1, len(words)), i -> words[i] || ' ' || words[i + 1])) AS pairs FROM w
+), e AS (SELECT doc_id, unit, len(pairs) AS n, unnest(pairs) AS pair FROM p),
+c AS (
+  SELECT doc_id, unit, licence, 2 * count(*) / (any_value(n) + any_value(size)) AS dice
+  FROM e JOIN t USING (pair) GROUP BY doc_id, unit, licence, template
+), b AS (SELECT doc_id, unit, licence, max(dice) AS dice FROM c WHERE dice >= 0.8 GROUP BY ALL)
+SELECT doc_id, licence, max(dice) AS dice, count(*) AS n_units FROM b GROUP BY ALL
+"""
+
+
+@query("op9_licences", _op9_sql())
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licences import scan
+
+    return scan(table(spark, sf_dir, "documents"))
