@@ -18,6 +18,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from weighbridge.catalogue import QUERIES  # noqa: E402
 from weighbridge.session import local_session  # noqa: E402
+from weighbridge.sources import release  # noqa: E402
 
 HEADLINE = [
     "weighted_trend", "weighted_mean_global", "participation_full_join", "missingness", "key_audit", "cleaning",
@@ -26,6 +27,7 @@ HEADLINE = [
     "gdp_vs_score_log", "ratio_vs_score", "fit_band", "sector_gap", "sector_gap_fanout", "gender_gap", "parity_band",
     "latest_with_ties", "latest_one", "groups_of_size", "anti_all_columns", "histogram30", "enriched", "corr_long",
     "split_assign", "rmse_mean_baseline", "linear",
+    "linear_one_feature", "forest", "boosted", "scorecard",
 ]
 
 
@@ -41,7 +43,9 @@ def main() -> None:
     def timed(name: str) -> float:
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        return time.perf_counter() - start
+        took = time.perf_counter() - start
+        release(spark)
+        return took
 
     seconds: dict[str, float] = {}
     for name in names:

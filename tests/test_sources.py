@@ -1,7 +1,16 @@
 import pytest
 
 from helpers import rows
-from weighbridge.sources import first_rows, read_csv, read_parquet, schema_profile, schemas, settle, write_result
+from weighbridge.sources import (
+    first_rows,
+    read_csv,
+    read_parquet,
+    schema_profile,
+    schemas,
+    scratch,
+    settle,
+    write_result,
+)
 
 
 def write(path, text):
@@ -16,6 +25,23 @@ def test_csv_quotes_empty_fields_and_line_ends(spark, tmp_path):
     ]
 
 
+def test_csv_doubles_quotes_and_keeps_blanks(spark, frame, tmp_path):
+    path = write(tmp_path / "q.csv", 'country,country_name,GDP_per_PPP_2022\nAAA,"Say ""x"", y",1.5\n')
+    assert rows(read_csv(spark, path, schemas.GDP)) == [("AAA", 'Say "x", y', 1.5)]
+    df = frame("country STRING, country_name STRING, GDP_per_PPP_2022 DOUBLE", ("A", 'a "q", b', 1.0), ("B", "  c\\ ", None))
+    write_result(df, str(tmp_path / "w"), "csv")
+    assert sorted(rows(read_csv(spark, str(tmp_path / "w"), schemas.GDP))) == sorted(rows(df))
+
+
+def test_settled_tables_are_released(spark, frame):
+    import os
+
+    with scratch(spark):
+        path = settle(frame("a INT", (1,))).inputFiles()[0].removeprefix("file://").removeprefix("file:")
+        assert os.path.exists(path)
+    assert not os.path.exists(os.path.dirname(os.path.dirname(path)))
+
+
 def test_csv_with_another_header_fails(spark, tmp_path):
     path = write(tmp_path / "gdp.csv", "land,country_name,GDP_per_PPP_2022\nHKG,H,5.5\n")
     with pytest.raises(Exception):

@@ -1,4 +1,4 @@
-from . import basics, survey
+from . import basics, survey, tidy
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "basics", "survey"]
+__all__ = ["QUERIES", "SQL", "basics", "survey", "tidy"]

@@ -311,13 +311,18 @@ def row_means(spark, sf_dir):
 
 
 @query("weighted_mean_global", with_tables("""
-SELECT round_even(sum(avg_score * stu_wgt) / sum(stu_wgt), 4) AS weighted_mean, count(*) AS n
-FROM student WHERE stu_wgt IS NOT NULL
+SELECT round_even(sum(avg_score * stu_wgt) / sum(CASE WHEN avg_score IS NOT NULL THEN stu_wgt END), 4) AS weighted_mean,
+       CASE WHEN count(*) FILTER (WHERE stu_wgt IS NULL AND avg_score IS NOT NULL) = 0 THEN 1.0 END AS strict_share,
+       count(*) AS n
+FROM student
 """, STUDENTS_SQL))
 def weighted_mean_global(spark, sf_dir):
-    rows = require(students(spark, sf_dir), "stu_wgt")
-    return rounded(rows.agg(
-        weighted_mean(F.col("avg_score"), F.col("stu_wgt")).alias("weighted_mean"), F.count(F.lit(1)).alias("n")
+    score, weight = F.col("avg_score"), F.col("stu_wgt")
+    return rounded(students(spark, sf_dir).agg(
+        weighted_mean(score, weight, strict_weight=False).alias("weighted_mean"),
+        # the strict mean of 1 is missing as soon as one row with a score lacks its weight
+        weighted_mean(F.when(score.isNotNull(), F.lit(1.0)), weight).alias("strict_share"),
+        F.count(F.lit(1)).alias("n"),
     ))
 
 

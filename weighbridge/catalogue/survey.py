@@ -5,15 +5,23 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import level_index
-from ..fixed_values import INCOME_LEVELS
+from ..fixed_values import INCOME_LEVELS, PREDICTORS, QUARTILE_LABELS
 from ..operators.grouped import row_counts
-from ..operators.models import baseline_rmse, best_model, feature_table, linear_model
+from ..operators.models import (
+    baseline_rmse,
+    best_model,
+    boosted_model,
+    feature_table,
+    forest_model,
+    linear_model,
+    scorecard,
+)
 from ..operators.quantiles import exact_quantiles, quantile_bands
 from ..operators.split import assign_split, split_report
 from ..operators.trends import correlations, fit_band, line_fit
 from ..plans.gaps import gap_latest, gap_segments, gender_gap, sector_gap
 from ..plans.indicators import gap_axis, gdp_points, parity_points, ratio_points, spending_points
-from ..plans.modelling import FITTERS, compare_models, modelling_table, split_features
+from ..plans.modelling import modelling_table, split_features
 from ..plans.prepare import attach_regions
 from ..plans.reports import change_between, coverage, mobility, weighted_trend
 from ..sources import settle
@@ -34,10 +42,7 @@ from .tables import (
 
 BANDED = ("escs", "math", "read", "science", "avg_score")
 FIRST, MIDDLE, LATEST = 1995, 1998, 2000  # the cycles compared in the test tables
-FEATURES = (
-    "escs", "staff_shortage", "fund_gov", "school_size", "stratio",
-    "GDP_per_PPP_2022", "gender_parity_index", "percentage_education_on_gdp",
-)
+FEATURES = PREDICTORS
 
 _TREND_SQL = """
 trend AS (
@@ -47,8 +52,8 @@ trend AS (
   FROM student JOIN region_income USING (country) GROUP BY ALL)"""
 
 
-def _regional(spark, sf_dir, background=False):
-    return attach_regions(students(spark, sf_dir, background), regions(spark, sf_dir))
+def _regional(spark, sf_dir):
+    return attach_regions(students(spark, sf_dir), regions(spark, sf_dir))
 
 
 @query("weighted_trend", with_tables("""
@@ -61,18 +66,23 @@ def trend(spark, sf_dir):
 @query("both_periods_change", with_tables("""
 , wide AS (SELECT ilo_subregion, round_even(max(CASE WHEN year = 1995 THEN weighted_mean END), 0) AS score_1995,
                   round_even(max(CASE WHEN year = 2000 THEN weighted_mean END), 0) AS score_2000
-           FROM trend WHERE year IN (1995, 2000) AND NOT (year = 1995 AND ilo_subregion = 'ASIA')
+           FROM named_trend WHERE year IN (1995, 2000) AND ilo_subregion IS NOT NULL
            GROUP BY 1 HAVING count(*) = 2)
 SELECT *, round_even((score_2000 - score_1995) / score_1995 * 100, 1) AS variation_perc FROM wide
-""", REGIONS_SQL, STUDENTS_SQL, _TREND_SQL))
+""", REGIONS_SQL, STUDENTS_SQL, _TREND_SQL, """
+named_trend AS (SELECT year, CASE WHEN NOT (year = 1995 AND ilo_subregion = 'ASIA') THEN ilo_subregion END AS ilo_subregion,
+                       weighted_mean FROM trend)"""))
 def both_periods_change(spark, sf_dir):
-    rows = _regional(spark, sf_dir).where(~((F.col("year") == FIRST) & (F.col("ilo_subregion") == "ASIA")))
-    return change_between(weighted_trend(rows), FIRST, LATEST, "ilo_subregion")
+    # one subregion is not known in the first cycle
+    known = F.when(~((F.col("year") == FIRST) & (F.col("ilo_subregion") == "ASIA")), F.col("ilo_subregion"))
+    trend_rows = weighted_trend(_regional(spark, sf_dir).withColumn("ilo_subregion", known))
+    return change_between(trend_rows, FIRST, LATEST, "ilo_subregion")
 
 
 @query("coverage", with_tables("""
-, seen AS (SELECT DISTINCT world_bank_income_group, country FROM student JOIN region_income USING (country)
-           WHERE world_bank_income_group NOT IN ('Low income') AND country NOT IN ('NATION_8', 'NATION_13')),
+, seen AS (SELECT DISTINCT world_bank_income_group,
+                CASE WHEN world_bank_income_group <> 'Low income' AND country NOT IN ('NATION_8', 'NATION_13')
+                     THEN country END AS country FROM student JOIN region_income USING (country)),
 listed AS (SELECT world_bank_income_group, count(DISTINCT country) AS listed_count,
                   string_agg(DISTINCT country, ', ' ORDER BY country) AS listed_keys
            FROM region_income WHERE world_bank_income_group IS NOT NULL GROUP BY 1),
@@ -83,9 +93,9 @@ SELECT world_bank_income_group, listed_count, coalesce(seen_count, 0) AS seen_co
 FROM listed LEFT JOIN found USING (world_bank_income_group)
 """, REGIONS_SQL, STUDENTS_SQL))
 def income_coverage(spark, sf_dir):
-    seen = _regional(spark, sf_dir).where(
-        (F.col("world_bank_income_group") != "Low income") & ~F.col("country").isin("NATION_8", "NATION_13")
-    )
+    # participants of one group and of two countries are not named
+    named = (F.col("world_bank_income_group") != "Low income") & ~F.col("country").isin("NATION_8", "NATION_13")
+    seen = _regional(spark, sf_dir).withColumn("country", F.when(named, F.col("country")))
     return coverage(regions(spark, sf_dir), seen, "world_bank_income_group", "country", lists=True)
 
 
@@ -109,17 +119,18 @@ def _cuts_sql(values):
 
 
 def _bands_sql(values):
+    q1, q2, q3, q4 = QUARTILE_LABELS
     bands = ", ".join(
-        f"CASE WHEN {v} <= {v}_q25 THEN 'Q1 (Bottom 25%)' WHEN {v} <= {v}_q50 THEN 'Q2 (25-50%)' "
-        f"WHEN {v} <= {v}_q75 THEN 'Q3 (50-75%)' WHEN {v} > {v}_q75 THEN 'Q4 (Top 25%)' END AS {v}_quartile"
+        f"CASE WHEN {v} <= {v}_q25 THEN '{q1}' WHEN {v} <= {v}_q50 THEN '{q2}' "
+        f"WHEN {v} <= {v}_q75 THEN '{q3}' WHEN {v} > {v}_q75 THEN '{q4}' END AS {v}_quartile"
         for v in values
     )
     return f"\nbanded AS (SELECT student.*, {bands} FROM student JOIN cuts USING (country, year))"
 
 
-def _stored_students(spark, sf_dir, *columns):
+def _stored_students(spark, sf_dir, *columns, years=None):
     """The student table with background index, written once because bands read it repeatedly."""
-    return settle(students(spark, sf_dir, background=True).select(*columns))
+    return settle(students(spark, sf_dir, background=True, years=years).select(*columns))
 
 
 @query("quantile_cuts", with_tables(
@@ -139,9 +150,9 @@ def quantile_band(spark, sf_dir):
     return quantile_bands(stored, BANDED, ["country", "year"]).select("row_id", *[f"{v}_quartile" for v in BANDED])
 
 
-def _banded(spark, sf_dir):
-    values = ("escs", "avg_score")
-    stored = _stored_students(spark, sf_dir, "country", "year", "stu_wgt", *values)
+def _banded(spark, sf_dir, values=("escs", "avg_score"), years=None):
+    """Cut points are taken per country and cycle, so other cycles need not be read."""
+    stored = _stored_students(spark, sf_dir, "country", "year", "stu_wgt", "escs", "avg_score", years=years)
     return quantile_bands(stored, values, ["country", "year"])
 
 
@@ -202,7 +213,8 @@ SELECT world_bank_income_group, country, country_name, year,
 FROM placed
 """, REGIONS_SQL, STUDENTS_SQL, *_BANDED_SQL, _GAPS_SQL))
 def segments(spark, sf_dir):
-    return rounded(gap_segments(_banded(spark, sf_dir), regions(spark, sf_dir), (FIRST, MIDDLE, LATEST)))
+    cycles = (FIRST, MIDDLE, LATEST)
+    return rounded(gap_segments(_banded(spark, sf_dir, ("escs",), cycles), regions(spark, sf_dir), cycles))
 
 
 @query("gap_latest", with_tables("""
@@ -213,7 +225,8 @@ FROM (SELECT * FROM gaps QUALIFY rank() OVER (PARTITION BY country ORDER BY year
 WHERE world_bank_income_group IS NOT NULL
 """, REGIONS_SQL, STUDENTS_SQL, *_BANDED_SQL, _GAPS_SQL))
 def latest_gaps(spark, sf_dir):
-    return gap_latest(_banded(spark, sf_dir), regions(spark, sf_dir), (FIRST, MIDDLE, LATEST))
+    cycles = (FIRST, MIDDLE, LATEST)
+    return gap_latest(_banded(spark, sf_dir, ("escs",), cycles), regions(spark, sf_dir), cycles)
 
 
 _FIT_SQL = """regr_count({y}, {x})::BIGINT AS n, round_even(regr_slope({y}, {x}), 4) AS slope,
@@ -273,9 +286,9 @@ fits AS (
   FROM (SELECT *, weighted_avg_score AS y, percentage_education_on_gdp AS x FROM points) GROUP BY 1),
 half AS (
   SELECT country, a + b * percentage_education_on_gdp AS fitted,
-         t * sqrt(greatest(syy - b * sxy, 0) / (n - 2))
-           * sqrt(1.0 / n + (percentage_education_on_gdp - mx) ** 2 / sxx) AS h
-  FROM points JOIN fits ON world_bank_income_group = grp JOIN t ON t.df = n - 2)
+         t * sqrt(greatest(syy - b * sxy, 0) / greatest(n - 2, 1))
+           * sqrt(1.0 / n + (percentage_education_on_gdp - mx) ** 2 / nullif(sxx, 0)) AS h
+  FROM points JOIN fits ON world_bank_income_group = grp LEFT JOIN t ON t.df = n - 2)
 SELECT country, world_bank_income_group, round_even(fitted, 4) AS fitted, round_even(fitted - h, 4) AS band_low,
        round_even(fitted + h, 4) AS band_high
 FROM points JOIN half USING (country)
@@ -285,10 +298,8 @@ def spending_band(spark, sf_dir):
     band = fit_band(
         points, "percentage_education_on_gdp", "weighted_avg_score", 0.8, ["world_bank_income_group"]
     )
-    # fewer than three points leave no residual freedom and hence no band
-    return rounded(band.where(F.col("n") > 2).select(
-        "country", "world_bank_income_group", "fitted", "band_low", "band_high"
-    ))
+    # fewer than three points leave no residual freedom: their band is NULL
+    return rounded(band.select("country", "world_bank_income_group", "fitted", "band_low", "band_high"))
 
 
 _SCORES_SQL = """
@@ -301,7 +312,7 @@ scores AS (SELECT country, sum(avg_score * stu_wgt) / sum(stu_wgt) AS weighted_a
     + " FROM scores JOIN gdp USING (country) WHERE GDP_per_PPP_2022 IS NOT NULL",
     STUDENTS_SQL, INDICATORS_SQL, _SCORES_SQL))
 def gdp_vs_score_log(spark, sf_dir):
-    points = gdp_points(students(spark, sf_dir), gdp(spark, sf_dir), regions(spark, sf_dir), LATEST)
+    points = gdp_points(students(spark, sf_dir, years=(LATEST,)), gdp(spark, sf_dir), regions(spark, sf_dir), LATEST)
     return _fit_row(line_fit(points, "log10_gdp", "weighted_avg_score"))
 
 
@@ -310,7 +321,10 @@ def gdp_vs_score_log(spark, sf_dir):
     + _FIT_SQL.format(y="weighted_avg_score", x="avg_ratio") + " FROM scores JOIN ratio USING (country)",
     STUDENTS_SQL, SCHOOLS_SQL, _SCORES_SQL))
 def ratio_vs_score(spark, sf_dir):
-    points = ratio_points(students(spark, sf_dir), schools(spark, sf_dir), regions(spark, sf_dir), LATEST)
+    cycle = (LATEST,)
+    points = ratio_points(
+        students(spark, sf_dir, years=cycle), schools(spark, sf_dir, cycle), regions(spark, sf_dir), LATEST
+    )
     return _fit_row(line_fit(points, "avg_ratio", "weighted_avg_score"))
 
 
@@ -334,13 +348,17 @@ FROM gaps JOIN region_income USING (country) WHERE world_bank_income_group IS NO
 
 @query("sector_gap", _sector_sql("student.school_uid = school.school_uid"))
 def sector_gaps(spark, sf_dir):
-    return rounded(sector_gap(students(spark, sf_dir), schools(spark, sf_dir), regions(spark, sf_dir), LATEST))
+    cycle = (LATEST,)
+    return rounded(sector_gap(
+        students(spark, sf_dir, years=cycle), schools(spark, sf_dir, cycle), regions(spark, sf_dir), LATEST
+    ))
 
 
 @query("sector_gap_fanout", _sector_sql("student.school_id = school.school_id AND student.country = school.country"))
 def sector_gaps_fanout(spark, sf_dir):
     return rounded(sector_gap(
-        students(spark, sf_dir), schools(spark, sf_dir), regions(spark, sf_dir), LATEST, ["school_id", "country"]
+        students(spark, sf_dir, years=(LATEST,)), schools(spark, sf_dir), regions(spark, sf_dir), LATEST,
+        ["school_id", "country"],
     ))
 
 
@@ -367,12 +385,12 @@ FROM gaps JOIN region_income USING (country) WHERE world_bank_income_group IS NO
 
 @query("gender_gap", with_tables(_GENDER_BODY, REGIONS_SQL, STUDENTS_SQL, _gender_sql("avg_score", 2000)))
 def gender_gaps(spark, sf_dir):
-    return rounded(gender_gap(students(spark, sf_dir), regions(spark, sf_dir), LATEST))
+    return rounded(gender_gap(students(spark, sf_dir, years=(LATEST,)), regions(spark, sf_dir), LATEST))
 
 
 @query("gender_gap_math", with_tables(_GENDER_BODY, REGIONS_SQL, STUDENTS_SQL, _gender_sql("math", 2000)))
 def gender_gaps_math(spark, sf_dir):
-    return rounded(gender_gap(students(spark, sf_dir), regions(spark, sf_dir), LATEST, "math"))
+    return rounded(gender_gap(students(spark, sf_dir, years=(LATEST,)), regions(spark, sf_dir), LATEST, "math"))
 
 
 _PARITY_SQL = """
@@ -392,7 +410,7 @@ FROM gaps JOIN parity USING (country) LEFT JOIN region_income USING (country)
 
 def _parity_points(spark, sf_dir, value="avg_score"):
     return parity_points(
-        students(spark, sf_dir), gender_index(spark, sf_dir), regions(spark, sf_dir), MIDDLE, value
+        students(spark, sf_dir, years=(MIDDLE,)), gender_index(spark, sf_dir), regions(spark, sf_dir), MIDDLE, value
     )
 
 
@@ -440,8 +458,10 @@ enriched AS (
 
 def _enriched(spark, sf_dir, years=(LATEST,)):
     """Context tables are stored first, as they would be in use, so that their size is known."""
-    context = [settle(make(spark, sf_dir)) for make in (schools, gdp, expenditure, gender_index)]
-    return modelling_table(students(spark, sf_dir, background=True), *context, years)
+    context = [settle(make(spark, sf_dir)) for make in (gdp, expenditure, gender_index)]
+    # the school key holds the cycle, so schools of other cycles match nothing
+    stored_schools = settle(schools(spark, sf_dir, years))
+    return modelling_table(students(spark, sf_dir, background=True, years=years), stored_schools, *context, years)
 
 
 @query("enriched", with_tables(
@@ -470,7 +490,7 @@ def corr_long(spark, sf_dir):
 
 _SPLIT_SQL = """
 marked AS (
-  SELECT row_id, school_uid, avg_score, escs,
+  SELECT row_id, school_uid, year, avg_score, escs,
          r <= ceil(n * 0.1::DOUBLE) AND ceil(n * 0.1::DOUBLE) < n AS is_test
   FROM (SELECT *, row_number() OVER (PARTITION BY school_uid ORDER BY md5('1:' || row_id), row_id) AS r,
                count(*) OVER (PARTITION BY school_uid) AS n FROM student))"""
@@ -489,7 +509,9 @@ def split_assign(spark, sf_dir):
 
 @query("split_report", with_tables("""
 SELECT count(DISTINCT school_uid) FILTER (WHERE NOT is_test) AS train_strata,
-       count(DISTINCT school_uid) FILTER (WHERE is_test) AS test_strata, true AS test_strata_in_train,
+       count(DISTINCT school_uid) FILTER (WHERE is_test) AS test_strata,
+       (SELECT count(*) = 0 FROM marked t WHERE is_test AND NOT EXISTS
+          (SELECT 1 FROM marked r WHERE NOT r.is_test AND r.school_uid = t.school_uid)) AS test_strata_in_train,
        count(*) FILTER (WHERE NOT is_test) AS train_rows, count(*) FILTER (WHERE is_test) AS test_rows
 FROM marked
 """, STUDENTS_SQL, _SPLIT_SQL))
@@ -522,20 +544,95 @@ def _features(spark, sf_dir):
     return split_features(_enriched(spark, sf_dir), "row_id", FEATURES)
 
 
-def _scorecard(*names):
-    def run(spark, sf_dir):
-        train, test = _features(spark, sf_dir)
-        return rounded(compare_models(train, test, {n: FITTERS[n] for n in names}))
+def _ols_sql() -> str:
+    """Least squares by successive orthogonalisation: after step k all columns are free of feature k.
+
+    What is left of the score is its residual, for test rows as well, as they go through the
+    coefficients of the training rows.
+    """
+    columns = [*FEATURES, "avg_score"]
+    steps = [
+        "modelled AS MATERIALIZED (SELECT * FROM (SELECT " + ", ".join(columns) + """,
+           r <= ceil(n * 0.1::DOUBLE) AND ceil(n * 0.1::DOUBLE) < n AS is_test
+         FROM (SELECT *, row_number() OVER (PARTITION BY school_uid ORDER BY md5('1:' || row_id), row_id) AS r,
+                      count(*) OVER (PARTITION BY school_uid) AS n FROM enriched))
+         WHERE """ + " AND ".join(f"{c} IS NOT NULL" for c in columns) + ")",
+        "m AS MATERIALIZED (SELECT " + ", ".join(f"avg({c}) AS {c}" for c in columns) + " FROM modelled WHERE NOT is_test)",
+        "z0 AS MATERIALIZED (SELECT is_test, " + ", ".join(f"x.{c} - m.{c} AS {c}" for c in columns) + " FROM modelled x, m)",
+    ]
+    for k, f in enumerate(FEATURES):
+        rest = columns[k + 1 :]
+        shares = ", ".join(f"coalesce(sum({f} * {c}) / nullif(sum({f} * {f}), 0), 0) AS {c}" for c in rest)
+        steps.append(f"b{k} AS MATERIALIZED (SELECT {shares} FROM z{k} WHERE NOT is_test)")
+        left = ", ".join(f"z.{c} - b.{c} * z.{f} AS {c}" for c in rest)
+        steps.append(f"z{k + 1} AS MATERIALIZED (SELECT is_test, {left} FROM z{k} z, b{k} b)")
+    steps.append(f"""card AS (
+      SELECT 'mean' AS model, sqrt(avg(avg_score ** 2)) AS rmse, count(*) AS n_test FROM z0 WHERE is_test
+      UNION ALL SELECT 'linear', sqrt(avg(avg_score ** 2)), count(*) FROM z{len(FEATURES)} WHERE is_test)""")
+    return "\n" + ",\n".join(steps)
+
 
-    return run
+_CARD_SQL = (STUDENTS_SQL, SCHOOLS_SQL, INDICATORS_SQL, _ENRICHED_SQL, _ols_sql())
 
 
-query("linear")(_scorecard("linear"))
-query("forest")(_scorecard("forest"))
-query("boosted")(_scorecard("boosted"))
-query("scorecard")(_scorecard("linear", "forest", "boosted"))
+def _linear_card(spark, sf_dir):
+    train, test = _features(spark, sf_dir)
+    return scorecard(train, test, "avg_score", {"linear": linear_model(train, "avg_score")})
 
 
-@query("best_of_mean_and_linear")
+@query("linear", with_tables("\nSELECT model, round_even(rmse, 3) AS rmse FROM card", *_CARD_SQL))
+def linear(spark, sf_dir):
+    return rounded(_linear_card(spark, sf_dir), 3)
+
+
+@query("best_of_mean_and_linear", with_tables(
+    "\nSELECT arg_min(model, rmse) AS model, round_even(min(rmse), 3) AS rmse FROM card", *_CARD_SQL))
 def best_of_mean_and_linear(spark, sf_dir):
-    return best_model(_scorecard("linear")(spark, sf_dir))
+    return rounded(best_model(_linear_card(spark, sf_dir)), 3)
+
+
+@query("scorecard", with_tables("""
+SELECT model, round_even(rmse, 3) AS rmse, n_test, n_test AS n_predicted FROM card
+UNION ALL SELECT t.model, NULL, n_test, n_test FROM card, (VALUES ('forest'), ('boosted')) t(model) WHERE card.model = 'mean'
+""", *_CARD_SQL))
+def model_scorecard(spark, sf_dir):
+    """All four models on the full predictors; random trees have no SQL twin, so their error is not shown."""
+    train, test = _features(spark, sf_dir)
+    models = {
+        "linear": linear_model(train, "avg_score"),
+        "forest": forest_model(train, "avg_score", trees=20),
+        "boosted": boosted_model(train, "avg_score", rounds=10),
+    }
+    card = scorecard(train, test, "avg_score", models, counts=True)
+    shown = F.when(F.col("model").isin("mean", "linear"), F.col("rmse"))
+    return rounded(card.withColumn("rmse", shown), 3)
+
+
+# On one predictor with few levels a full tree predicts the training mean of each level, and
+# later boosting rounds find nothing left.
+_LEVELS_SQL = """
+levels AS (SELECT year, avg(avg_score) AS p FROM marked WHERE NOT is_test GROUP BY year),
+level_card AS (
+  SELECT '{name}' AS model, sqrt(avg((avg_score - p) ** 2)) AS rmse FROM marked JOIN levels USING (year) WHERE is_test
+  UNION ALL
+  SELECT 'mean', sqrt(avg((avg_score - (SELECT avg(avg_score) FROM marked WHERE NOT is_test)) ** 2)) FROM marked WHERE is_test)"""
+
+
+def _level_card(spark, sf_dir, name, fit):
+    marked = settle(_marked(spark, sf_dir, False, "avg_score", "year").select("avg_score", "year", "is_test"))
+    rows = settle(feature_table(marked, "avg_score", ["year"], ["is_test"]))
+    train, test = rows.where(~F.col("is_test")).drop("is_test"), rows.where("is_test").drop("is_test")
+    return rounded(scorecard(train, test, "avg_score", {name: fit(train)}), 3)
+
+
+@query("forest", with_tables("\nSELECT model, round_even(rmse, 3) AS rmse FROM level_card",
+                             STUDENTS_SQL, _SPLIT_SQL, _LEVELS_SQL.format(name="forest")))
+def forest(spark, sf_dir):
+    return _level_card(spark, sf_dir, "forest", lambda train: forest_model(
+        train, "avg_score", trees=10, predictors="all", bootstrap=False))
+
+
+@query("boosted", with_tables("\nSELECT model, round_even(rmse, 3) AS rmse FROM level_card",
+                              STUDENTS_SQL, _SPLIT_SQL, _LEVELS_SQL.format(name="boosted")))
+def boosted(spark, sf_dir):
+    return _level_card(spark, sf_dir, "boosted", lambda train: boosted_model(train, "avg_score", rounds=10))

@@ -7,11 +7,15 @@ used by the result checks only.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import row_mean
+from ..functions import composite_key, row_mean
 from ..operators.joins import join_on, star
 
 
@@ -40,6 +44,18 @@ def with_country(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     return star(df, (supplier, ["l_suppkey"]), (nation, ["n_nationkey"]), how="inner")
 
 
+def _shipped_in(lines: DataFrame, years: Sequence[int] | None) -> DataFrame:
+    """Lines of the given cycles, as ranges of the stored column, so that the scan can skip the rest."""
+    if years is None:
+        return lines
+    shipped, kind = F.col("l_shipdate"), lines.schema["l_shipdate"].dataType
+
+    def start(year: int) -> Column:
+        return F.lit(f"{year}-01-01").cast(kind)
+
+    return lines.where(reduce(or_, [(shipped >= start(y)) & (shipped < start(y + 1)) for y in sorted(years)]))
+
+
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation").withColumnRenamed("n_regionkey", "r_regionkey")
     key = F.col("n_nationkey")
@@ -66,9 +82,11 @@ region_income AS (
   FROM nation JOIN region ON n_regionkey = r_regionkey)"""
 
 
-def students(spark: SparkSession, sf_dir: str, background: bool = False) -> DataFrame:
+def students(
+    spark: SparkSession, sf_dir: str, background: bool = False, years: Sequence[int] | None = None
+) -> DataFrame:
     """One row per shipped line. ``escs`` needs two more joins, so it is optional."""
-    df = with_country(table(spark, sf_dir, "lineitem"), spark, sf_dir)
+    df = with_country(_shipped_in(table(spark, sf_dir, "lineitem"), years), spark, sf_dir)
     if background:
         orders = table(spark, sf_dir, "orders").select(
             F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")
@@ -82,7 +100,7 @@ def students(spark: SparkSession, sf_dir: str, background: bool = False) -> Data
         year.alias("year"),
         "country",
         F.col("l_suppkey").cast("string").alias("school_id"),
-        F.concat_ws("_", "country", year.cast("string"), F.col("l_suppkey").cast("string")).alias("school_uid"),
+        composite_key(F.col("country"), year, F.col("l_suppkey")).alias("school_uid"),
         F.col("l_orderkey").cast("string").alias("student_id"),
         F.when(F.col("l_linestatus") == "F", " Female").otherwise("male\t").alias("gender"),
         *([F.when(~((flag == "A") & (line == 7)), F.col("c_acctbal")).alias("escs")] if background else []),
@@ -116,10 +134,10 @@ student AS (
   FROM student_base)"""
 
 
-def schools(spark: SparkSession, sf_dir: str) -> DataFrame:
+def schools(spark: SparkSession, sf_dir: str, years: Sequence[int] | None = None) -> DataFrame:
     """One row per supplier and year, summed from its lines before any join."""
     per_year = (
-        table(spark, sf_dir, "lineitem")
+        _shipped_in(table(spark, sf_dir, "lineitem"), years)
         .groupBy("l_suppkey", F.year("l_shipdate").alias("year"))
         .agg(
             F.count(F.lit(1)).cast("double").alias("school_size"),
@@ -134,7 +152,7 @@ def schools(spark: SparkSession, sf_dir: str) -> DataFrame:
         "country",
         "year",
         F.col("l_suppkey").cast("string").alias("school_id"),
-        F.concat_ws("_", "country", year.cast("string"), F.col("l_suppkey").cast("string")).alias("school_uid"),
+        composite_key(F.col("country"), year, F.col("l_suppkey")).alias("school_uid"),
         F.when((balance >= 0) & (balance + 500 * (year - 1998) < 4000), "private")
         .when(balance >= 0, "public")
         .alias("public_private"),

@@ -59,3 +59,14 @@ PREDICTORS = (
     "gender_parity_index",
     "percentage_education_on_gdp",
 )
+
+# School columns of the modelling table.
+SCHOOL_COLUMNS = (
+    "enrol_boys",
+    "enrol_girls",
+    "stratio",
+    "public_private",
+    "staff_shortage",
+    "fund_gov",
+    "school_size",
+)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,8 +23,17 @@ def latest_with_ties(df: DataFrame, by: Sequence[str], order: str) -> DataFrame:
 
 
 def latest_one(df: DataFrame, by: Sequence[str], order: str, tiebreak: Sequence[str] = ()) -> DataFrame:
-    """One row per group: highest ``order``, then highest ``tiebreak`` columns."""
+    """One row per group: highest ``order``, then highest ``tiebreak`` columns.
+
+    Each column's maximum combines on the map side by hash and narrows the rows; only the rows
+    that are left, the ties, are gathered. ``df`` is read once more per column.
+    """
     rest = [c for c in df.columns if c not in by]
+    for column in (order, *tiebreak):
+        highest = df.groupBy(*by).agg(F.max(column).alias("__highest"))
+        keys = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in by]
+        same = F.col(f"l.{column}").eqNullSafe(F.col("r.__highest"))
+        df = df.alias("l").join(highest.alias("r"), reduce(and_, keys, same), "left_semi")
     best = df.groupBy(*by).agg(
         F.max_by(F.struct(*rest), F.struct(order, *tiebreak)).alias("__row")
     )

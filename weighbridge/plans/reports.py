@@ -62,7 +62,7 @@ def coverage(
     anything is gathered, so its size does not matter.
     """
     all_keys = text_list(require(listed, group), [group], key, "listed_count", "listed_keys")
-    seen_keys = text_list(require(seen, group), [group], key, "seen_count", "seen_keys")
+    seen_keys = text_list(require(seen, group, key), [group], key, "seen_count", "seen_keys")
     joined = join_on(all_keys, seen_keys, [group], "left").withColumn(
         "seen_count", F.coalesce("seen_count", F.lit(0).cast("bigint"))
     )

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,10 +31,34 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/settled-{spark.sparkContext.applicationId}"
+
+
+def new_path(spark: SparkSession, name: str = "") -> str:
+    """A path not used before, among this application's tables."""
+    return f"{_own_folder(spark)}/{name}{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete everything this application has settled. Frames read from it are invalid afterwards."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[SparkSession]:
+    """``with scratch(spark):`` releases the settled tables at the end of the block."""
+    try:
+        yield spark
+    finally:
+        release(spark)
+
+
 def settle(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` once to the shared folder and return the written table."""
     spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    path = f"{shared_folder(spark)}/settled-{app}/{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -13,6 +13,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV with a header row, checked against the declared schema; empty fields are NULL."""
     return (
         spark.read.option("header", True)
+        .option("escape", '"')
         .option("enforceSchema", False)
         .option("nullValue", "NA")
         .option("mode", "FAILFAST")
@@ -36,11 +37,14 @@ def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = N
 
 
 def write_result(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()) -> None:
-    """Write a result table; CSV gets a header."""
+    """Write a result table; CSV gets a header and doubles quotes inside quoted fields."""
     if fmt not in ("parquet", "csv"):
         raise ValueError(f"unsupported format {fmt}")
     writer = df.write.mode("errorifexists").partitionBy(*partition_by)
-    (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
+    if fmt == "csv":
+        writer = writer.option("header", True).option("escape", '"')
+        writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    writer.format(fmt).save(path)
 
 
 def first_rows(df: DataFrame, order: Sequence[str], n: int = 6) -> DataFrame:
