@@ -23,14 +23,13 @@ from __future__ import annotations
 import gzip
 import hashlib
 import re
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import shared_folder
+from ..sources import new_path
 
 END = "\r\n\r\n"
 PAGES_PER_FILE = 2000
@@ -157,6 +156,6 @@ def page_number(capture: Column) -> Column:
 def round_trip(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """Write ``pages`` to archives in the shared folder and return their captures."""
     spark = pages.sparkSession
-    path = f"{shared_folder(spark)}/warc-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = new_path(spark, "warc-")
     write_archives(pages, path, min_revisit)
     return captures(spark, path)
