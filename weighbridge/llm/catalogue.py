@@ -86,11 +86,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _OP8_SQL = """
 WITH v AS (
-  SELECT vec_id, min(list_transform(embedding, x -> floor(64 * x::DOUBLE)::BIGINT)) AS v FROM embeddings
+  SELECT vec_id, min(list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), i -> q.v[i] * c.v[i]))::BIGINT AS score
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
   FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)
 ), r AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
@@ -169,9 +169,9 @@ u AS (
     UNION ALL SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?:])\s+', '\1' || chr(10), 'g'), chr(10))) FROM documents
   ) WHERE doc_id IS NOT NULL
 ), w AS (
-  SELECT doc_id, unit, list_filter(string_split(regexp_replace(lower(unit), '[^a-z0-9]+', ' ', 'g'), ' '), x -> x <> '') AS words FROM u
+  SELECT doc_id, unit, list_filter(string_split(regexp_replace(lower(unit), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS words FROM u
 ), p AS (
-  SELECT doc_id, unit, list_distinct(list_transform(range(1, len(words)), i -> words[i] || ' ' || words[i + 1])) AS pairs FROM w
+  SELECT doc_id, unit, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS pairs FROM w
 ), e AS (SELECT doc_id, unit, len(pairs) AS n, unnest(pairs) AS pair FROM p),
 c AS (
   SELECT doc_id, unit, licence, 2 * count(*) / (any_value(n) + any_value(size)) AS dice
