@@ -2,7 +2,7 @@
 
 1. quality: documents that the classifier rejects (score below 0.3) go;
 2. near duplicates: one document of each group stays (5-word shingles, similarity 0.8);
-3. repeated passages: later copies of byte strings of 400 bytes are cut, the first stays;
+3. repeated passages: later copies of byte strings of REPEAT_BYTES bytes are cut, the first stays;
 4. decontamination: documents that hold a benchmark item go;
 5. pieces: the texts that remain, as SentencePiece ids.
 
@@ -19,6 +19,7 @@ from weighbridge.llm import decontaminate, near_dedup, pieces, quality, repeats
 from weighbridge.sources import settle
 
 QUALITY_THRESHOLD = 0.3
+REPEAT_BYTES = 200  # a passage of some 50 words has 250 bytes or more
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later copies of repeated passages; n_chars follows the text."""
-    cut = repeats.remove_repeats(docs)
+    cut = repeats.remove_repeats(docs, REPEAT_BYTES)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
     return cut

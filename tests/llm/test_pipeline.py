@@ -36,7 +36,7 @@ def test_stages(spark, sf, tmp_path):
     assert sorted(rows(kept["near_dedup"])) == sorted(r for r in before if groups[r[0]][2])
 
     before = rows(kept["near_dedup"])
-    removed = {r[0]: r[2] for r in all_windows(before, 400, True)}
+    removed = {r[0]: r[2] for r in all_windows(before, corpus_pipeline.REPEAT_BYTES, True)}
     after = dict(rows(kept["repeats"]))
     assert set(after) == {i for i, _ in before}
     for i, text in before:
