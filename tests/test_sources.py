@@ -83,3 +83,17 @@ def test_settle_keeps_rows_and_cuts_the_plan(frame):
     stored = settle(df.groupBy("Income group").sum("x").withColumnRenamed("sum(x)", "s"))
     assert sorted(rows(stored)) == [("a", 1.0), ("b", None)]
     assert "Aggregate" not in stored._jdf.queryExecution().executedPlan().toString()
+
+
+def test_package_is_shipped_once(spark):
+    from weighbridge.session import ship
+
+    ship(spark)
+    ship(spark)
+
+    def found(batches):
+        import weighbridge.functions  # noqa: F401
+
+        yield from batches
+
+    assert spark.range(3).mapInArrow(found, "id long").count() == 3
