@@ -64,10 +64,10 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed,size,percent,limit", [(1, 5, 80, 48), (2, 4, 80, 5), (3, 5, 90, 10)])
-def test_against_all_pairs(documents, seed, size, percent, limit):
+@pytest.mark.parametrize("seed,size,percent,limit,block", [(1, 5, 80, 48, 2048), (2, 4, 80, 5, 2048), (3, 5, 90, 10, 9), (4, 3, 70, 4, 6)])
+def test_against_all_pairs(documents, seed, size, percent, limit, block):
     rows = corpus(seed)
-    got = result(near_duplicates(documents(*rows), words=size, percent=percent, list_limit=limit))
+    got = result(near_duplicates(documents(*rows), words=size, percent=percent, list_limit=limit, block_rows=block))
     assert got == brute_force(rows, size, percent)
 
 

@@ -12,8 +12,9 @@ below 1e-7. Sets of at most k values are kept whole and nothing is left to chanc
    lists, unless most values of *both* nodes are in long lists;
 3. those nodes meet the pivot of each long list (the node with most long-list values, which in
    a group of near copies is the one nearest to all). What pivots do not connect goes through
-   an exact prefix filter over the full sets, rarest shingles first, where only nodes of
-   different components meet;
+   an exact prefix filter over the full sets, rarest shingles first, and is compared block by
+   block where a list holds nodes of different components; that part alone can grow with the
+   square of a group, namely of texts made of passages that many share, yet not similar;
 4. the sketch of the union estimates the similarity of each candidate pair;
 5. the full sets, made again from both texts, confirm it;
 6. links become components by label propagation.
@@ -29,6 +30,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +42,7 @@ from .packed import packed_texts, unpack
 
 SKETCH = 48
 LIST_LIMIT = 48
+BLOCK_ROWS = 2048
 
 
 def least_shared(k: int, percent: int, miss: float = 1e-7) -> int:
@@ -74,7 +77,7 @@ def _near_in_size(a: str, b: str, percent: int):
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, k: int, percent: int, floor: int) -> DataFrame:
-    """Pairs (a, b) whose union sketch leaves the similarity possible."""
+    """Pairs (a, b) whose union sketch leaves the similarity possible; exact where it holds the whole sets."""
     left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     both = pairs.join(left, "a").join(right, "b").withColumn("common", F.array_intersect("sa", "sb"))
@@ -133,33 +136,77 @@ def _full_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(spread, "node long, v long")
 
 
-def _remaining_pairs(shingles: DataFrame, nodes: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes of different components that an exact prefix filter leaves."""
+def _remaining_links(shingles: DataFrame, nodes: DataFrame, known: DataFrame, percent: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Links (a, b) between different components of ``known``, by an exact prefix filter over full sets.
+
+    Nodes that share a prefix element with a node of another component form clusters, which are
+    dealt by size of set and in blocks; two blocks at a time are compared in one task, and only
+    links that join components leave it.
+    """
     shingles = settle(shingles.join(nodes.select("node"), "node"))
     often = shingles.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
-    sizes = nodes.select("node", "n")
     # elements in one set only come first; of the others, the rarest
     shared = shingles.join(often, "v").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
     need = F.expr(f"n - cast(ceil({percent} * n / 100.0) as long) + 1 - (n - size(vs))")
-    rows = (shared.join(sizes, "node").withColumn("take", need.cast("int")).filter("take > 0")
-            .select("node", "n", F.explode(F.expr("transform(slice(vs, 1, take), x -> x.v)")).alias("v"))
-            .join(known, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    rows = settle(rows)
-    # a list of one component needs nothing; else all others meet its largest component and each other
-    weight = rows.groupBy("v", "component").agg(F.count("*").alias("c"))
-    lead = weight.groupBy("v").agg(F.max_by("component", F.struct("c", "component")).alias("lead"), F.count("*").alias("parts")).filter("parts > 1")
-    rows = rows.join(lead.drop("parts"), "v")
-    left = rows.filter("component != lead").select("v", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    right = rows.select("v", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), (F.col("component") == F.col("lead")).alias("main"))
-    pairs = left.join(right, "v").filter((F.col("cx") != F.col("cy")) & _near_in_size("nx", "ny", percent) & (F.col("main") | (F.col("x") < F.col("y"))))
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.least("nx", "ny"), "v").select("a", "b").distinct()
-    inter = (pairs.join(shingles.select(F.col("node").alias("a"), "v"), "a")
-             .join(shingles.select(F.col("node").alias("b"), "v"), ["b", "v"]).groupBy("a", "b").agg(F.count("*").alias("i")))
-    size_a, size_b = sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), sizes.select(F.col("node").alias("b"), F.col("n").alias("nb"))
-    return inter.join(size_a, "a").join(size_b, "b").filter(f"100 * i >= {percent} * (na + nb - i)").select("a", "b")
-
-
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = SKETCH, list_limit: int = LIST_LIMIT) -> DataFrame:
+    shared = settle(shared.join(nodes.select("node", "n"), "node").withColumn("take", need.cast("int")).filter("take > 0")
+                    .join(known, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"), "take", F.col("vs.v").alias("vs")))
+    rows = shared.select("node", "component", F.explode(F.expr("slice(vs, 1, take)")).alias("v"))
+    # a list of one component needs nothing
+    lists_ = rows.groupBy("v").agg(F.min("node").alias("b"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 != c1")
+    clusters = components(rows.join(lists_.select("v", "b"), "v").select(F.col("node").alias("a"), "b").distinct())
+    step = max(math.log(100 / percent), 0.01) * 1.001  # linked sets are at most one size class apart
+    size = F.floor(F.log("n") / step)
+    dealt = (shared.join(clusters.withColumnRenamed("component", "cluster"), "node")
+             .select("node", "n", "component", "vs", "cluster", F.explode(F.array(size, size + 1)).alias("size")))
+    keys = ["cluster", "size"]
+    parts = (dealt.groupBy(*keys).agg(F.count("*").alias("m"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 != c1")
+             .select(*keys, F.ceil(F.col("m") / block_rows).cast("int").alias("blocks")))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = (dealt.join(parts, keys).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")))
+
+    def compare(some: pd.DataFrame) -> pd.DataFrame:
+        count, n, part = len(some), some["n"].to_numpy(), some["component"].to_numpy()
+        ids = some["node"].to_numpy()
+        lengths = [len(v) for v in some["vs"]]
+        _, column, often = np.unique(np.concatenate(some["vs"].to_list()), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(count), lengths)
+        kept = often[column] > 1
+        row, column = row[kept], column[kept]
+        _, column = np.unique(column, return_inverse=True)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        common = np.zeros((count, count), np.float32)
+        width = 4096
+        for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+            a, z = np.searchsorted(column, [low, low + width])
+            held = np.zeros((count, width), np.float32)
+            held[row[a:z], column[a:z] - low] = 1
+            common += held @ held.T
+        parent = {p: p for p in part.tolist()}
+
+        def root(p):
+            while parent[p] != p:
+                parent[p] = parent[parent[p]]
+                p = parent[p]
+            return p
+
+        links = []
+        for i in range(count):
+            j = np.flatnonzero((100 * common[i] >= percent * (n[i] + n - common[i])) & (part != part[i]))
+            for k in j[j > i].tolist():
+                x, y = root(int(part[i])), root(int(part[k]))
+                if x != y:
+                    parent[x] = y
+                    links.append((ids[i], ids[k]))
+        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+    return dealt.select("node", "n", "component", "vs", *keys, "low", "high").groupBy(*keys, "low", "high").applyInPandas(compare, "a long, b long")
+
+
+def near_duplicates(
+    docs: DataFrame, words: int = 5, percent: int = 80, k: int = SKETCH, list_limit: int = LIST_LIMIT, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
     """Per document of ``docs(doc_id, text)``: n_shingles, component_id, kept.
 
     Documents are linked when their sets of ``words``-word shingles have at least ``percent``
@@ -190,7 +237,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     pairs = overlap.filter(F.expr("o + least(h_a, h_b) >= greatest(need_a, need_b)")).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
     dense = settle(counted.filter("h >= need").select("node", "n", "h"))
-    listed = in_long.join(dense, ["node", "n"])
+    listed = settle(in_long.join(dense, ["node", "n"]))
     pivots = listed.groupBy("v").agg(F.max_by(F.struct("node", "n"), F.struct("h", -F.col("node"))).alias("p"))
     starred = (listed.join(pivots, "v").filter((F.col("node") != F.col("p.node")) & _near_in_size("n", "p.n", percent))
                .select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct())
@@ -199,7 +246,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
 
     known = components(links)
     dense_docs = docs.join(dense.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    more = settle(_remaining_pairs(_full_sets(dense_docs, words).distinct(), dense, known, percent))
+    more = settle(_remaining_links(_full_sets(dense_docs, words).distinct(), dense, known, percent, block_rows))
     if not more.isEmpty():
         known = components(links.union(more))
 
