@@ -7,8 +7,10 @@ a template's is at least ``dice``. That needs |A| between |B| dice / (2 - dice)
 so units of a size that fits no template are left before their pairs are made, and a unit meets
 only templates of fitting size that share a pair with it.
 
-The template table is a fixed list of a few hundred pairs, so joining it needs no shuffle of the
-texts; only found units are grouped. No unit is cut short, whatever its length.
+A unit that names a template of b pairs has at least b dice / (2 - dice) of them, so it has one of any
+b - b dice / (2 - dice) + 1. The longest pairs, seldom found in other text, are taken for that test, in
+the row itself; only units that pass are spread into their pairs and grouped. The template table is
+a fixed list of a few hundred pairs. No unit is cut short, whatever its length.
 
 Rows: a null, empty or one-word text names nothing. Rows without doc_id are left out, rows that
 repeat an id count as one document. Other columns are ignored.
@@ -16,6 +18,7 @@ repeat an id count as one document. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -74,6 +77,18 @@ def _bounds(size, dice: float):
     return size * (dice / (2 - dice) - 1e-9), size * ((2 - dice) / dice + 1e-9)
 
 
+def _telling(templates: list[tuple], dice: float) -> list[str]:
+    """Pairs of which every unit that names a licence has at least one."""
+    of: dict[int, list[str]] = {}
+    for _, number, _, pair in templates:
+        of.setdefault(number, []).append(pair)
+    found = set()
+    for pairs in of.values():
+        least = math.ceil(len(pairs) * dice / (2 - dice) - 1e-9)
+        found.update(sorted(pairs, key=lambda p: (-len(p), p))[: len(pairs) - least + 1])
+    return sorted(found)
+
+
 def _fits(size: Column, templates: list[tuple], dice: float) -> Column:
     """Whether some template's size lies within the bounds for ``size`` pairs."""
     sizes = sorted({r[2] for r in templates})
@@ -106,6 +121,7 @@ def licence_units(docs: DataFrame, dice: float = DICE, templates: dict[str, list
     units = units.withColumn("words", words).filter(F.size("words") > fewest)
     pairs = F.array_distinct(F.zip_with(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", 2, F.greatest(F.size("words"), F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b)))
     units = units.select("doc_id", "unit", pairs.alias("pairs")).withColumn("n", F.size("pairs")).filter(_fits(F.col("n"), known, dice))
+    units = units.filter(F.arrays_overlap("pairs", F.array(*[F.lit(p) for p in _telling(known, dice)])))
     met = units.select("doc_id", "unit", "n", F.explode("pairs").alias("pair")).join(table, "pair")
     met = met.filter(F.col("n").between(*_bounds(F.col("size"), dice))).distinct()
     counted = met.groupBy("doc_id", "unit", "licence", "template", "n", "size").agg(F.count("*").alias("common"))
