@@ -109,7 +109,11 @@ def licence_units(docs: DataFrame, dice: float = DICE, templates: dict[str, list
     """(doc_id, unit, licence, dice): the units of ``docs(doc_id, text)`` that name a licence."""
     known = template_pairs(templates)
     table = docs.sparkSession.createDataFrame(known, "licence string, template int, size int, pair string")
+    telling = _telling(known, dice)
     texts = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
+    # a text without any telling pair's longer word names nothing: most texts end here, after one pass
+    words_of = F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "), " ")
+    texts = texts.filter(F.arrays_overlap(words_of, F.array(*[F.lit(w) for w in sorted({max(p.split(), key=len) for p in telling})])))
     lines = F.split("text", "\n")
     sentences = F.split(F.regexp_replace("text", r"([.!?:])\s+", "$1\n"), "\n")
     units = texts.select("doc_id", F.explode(F.array_distinct(F.concat(F.array("text"), lines, sentences))).alias("unit"))
@@ -121,7 +125,7 @@ def licence_units(docs: DataFrame, dice: float = DICE, templates: dict[str, list
     units = units.withColumn("words", words).filter(F.size("words") > fewest)
     pairs = F.array_distinct(F.zip_with(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", 2, F.greatest(F.size("words"), F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b)))
     units = units.select("doc_id", "unit", pairs.alias("pairs")).withColumn("n", F.size("pairs")).filter(_fits(F.col("n"), known, dice))
-    units = units.filter(F.arrays_overlap("pairs", F.array(*[F.lit(p) for p in _telling(known, dice)])))
+    units = units.filter(F.arrays_overlap("pairs", F.array(*[F.lit(p) for p in telling])))
     met = units.select("doc_id", "unit", "n", F.explode("pairs").alias("pair")).join(table, "pair")
     met = met.filter(F.col("n").between(*_bounds(F.col("size"), dice))).distinct()
     counted = met.groupBy("doc_id", "unit", "licence", "template", "n", "size").agg(F.count("*").alias("common"))
