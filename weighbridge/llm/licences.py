@@ -12,6 +12,14 @@ b - b dice / (2 - dice) + 1. The longest pairs, seldom found in other text, are
 the row itself; only units that pass are spread into their pairs and grouped. The template table is
 a fixed list of a few hundred pairs. No unit is cut short, whatever its length.
 
+Notices also stand across line feeds, behind comment marks, or between other words of a line. For the
+licences that none of a document's units names, its passages are compared: a passage of a template
+of w words is a run of w words of the text, or of up to (2 - dice) / dice as many, that starts at a
+pair of the template or holds the last w words. Of a template's passages that overlap, the best counts. Only
+texts with enough pairs of a template, near enough to each other, are cut into passages, all in the row.
+As a passage may stand anywhere, and half of a short template does so by chance ("licensed under the"),
+a ``dice`` below 0.8 loosens the units only.
+
 Rows: a null, empty or one-word text names nothing. Rows without doc_id are left out, rows that
 repeat an id count as one document. Other columns are ignored.
 """
@@ -105,6 +113,87 @@ def _fits(size: Column, templates: list[tuple], dice: float) -> Column:
     return fits
 
 
+def _words(text: Column | str) -> Column:
+    return F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " "), lambda w: w != "")
+
+
+def _pairs(words: str) -> Column:
+    """All pairs of neighbours in the array column ``words``, repeats too."""
+    return F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words), F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
+def _once(value: Column) -> Column:
+    """The value by way of a generator, so that later filters do not compute it again."""
+    return F.explode(F.array(value))
+
+
+def _template_structs(templates: dict[str, list[str]], dice: float) -> Column:
+    """Per template: licence, pairs, the fewest common ones, and how many pairs (with repeats) a passage has at least and at most."""
+    of: dict[int, tuple[str, list[str]]] = {}
+    for licence, number, _, pair in template_pairs(templates):
+        of.setdefault(number, (licence, []))[1].append(pair)
+    shortest = [len(re.findall(r"[a-z0-9]+", text.lower())) - 1 for texts in templates.values() for text in texts]
+    return F.array(*[
+        F.struct(
+            F.lit(licence).alias("licence"), F.array(*[F.lit(p) for p in pairs]).alias("pairs"),
+            F.lit(math.ceil(len(pairs) * dice / (2 - dice) - 1e-9)).alias("least"),
+            F.lit(p).alias("shortest"), F.lit(int(p * (2 - dice) / dice + 1e-9)).alias("longest"),
+        ) for (licence, pairs), p in zip(of.values(), shortest)
+    ])
+
+
+def _best_run(start: Column) -> Column:
+    """(start, stop, dice, unit): the passage at ``start`` with the greatest coefficient, the shortest of equal ones."""
+    t = F.col("t")
+
+    def scored(n: Column) -> Column:
+        run = F.slice("pairs", start + 1, n)
+        common = F.size(F.array_intersect(run, t["pairs"]))
+        score = 2 * common / (F.size(F.array_distinct(run)) + F.size(t["pairs"]))
+        return F.struct(score.alias("dice"), (-n).alias("less"))
+
+    # a longer passage that ends with a pair the template has not is never better than a shorter one
+    lengths = F.sequence(t["shortest"], F.least(t["longest"], F.size("pairs") - start))
+    lengths = F.filter(lengths, lambda n: (n == t["shortest"]) | F.array_contains(t["pairs"], F.col("pairs")[start + n - 1]))
+    # transform and filter bind the best as a variable
+    return F.transform(F.array(F.array_max(F.transform(lengths, scored))), lambda best: F.struct(
+        start.alias("start"), (start - best["less"]).alias("stop"), best["dice"].alias("dice"),
+        F.array_join(F.slice("words", start + 1, 1 - best["less"]), " ").alias("unit"),
+    ))[0]
+
+
+def _best_of_overlapping(found: Column) -> Column:
+    def add(kept: Column, run: Column) -> Column:
+        last = F.element_at(kept, -1)
+        better = F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(run))
+        apart = (F.size(kept) == 0) | (run["start"] >= F.try_element_at(kept, F.lit(-1))["stop"])
+        return F.when(apart, F.concat(kept, F.array(run))).when(run["dice"] > last["dice"], better).otherwise(kept)
+
+    return F.aggregate(found, F.slice(found, 1, 0), add)
+
+
+def licence_passages(docs: DataFrame, dice: float = DICE, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
+    """(doc_id, unit, licence, dice): the passages of ``docs(doc_id, text)`` that name a licence, as their words."""
+    known = template_pairs(templates)
+    every = F.array(*[F.lit(p) for p in dict.fromkeys(r[3] for r in known)])
+    cut = docs.filter("doc_id is not null and text is not null").select("doc_id", _once(_words("text")).alias("words"))
+    cut = cut.select("doc_id", "words", _once(_pairs("words")).alias("pairs"))
+    cut = cut.filter(F.arrays_overlap("pairs", F.array(*[F.lit(p) for p in _telling(known, dice)])))
+    cut = cut.select("doc_id", "words", "pairs", _once(F.array_intersect("pairs", every)).alias("met"))
+    fits = F.filter(_template_structs(templates, dice), lambda t: (F.size("pairs") >= t["shortest"]) & (F.size(F.array_intersect("met", t["pairs"])) >= t["least"]))
+    cut = cut.select("doc_id", "words", "pairs", F.explode(fits).alias("t"))
+    t = F.col("t")
+    hits = F.filter(F.sequence(F.lit(0), F.size("pairs") - 1), lambda i: F.array_contains(t["pairs"], F.col("pairs")[i]))
+    cut = cut.select("doc_id", "words", "pairs", "t", _once(hits).alias("hits"))
+    at, last = F.col("hits"), F.size("pairs") - t["shortest"]
+    near = F.filter(F.sequence(F.lit(0), F.size("hits") - t["least"]), lambda k: (at[k] <= last) & (at[k + t["least"] - 1] - at[k] < t["longest"]))
+    starts = F.array_union(F.transform(near, lambda k: at[k]), F.array(last))
+    cut = cut.select("doc_id", "words", "pairs", "t", _once(starts).alias("starts"))
+    cut = cut.select("doc_id", "t.licence", _once(F.transform("starts", _best_run)).alias("runs"))
+    cut = cut.select("doc_id", "licence", F.explode(_best_of_overlapping(F.filter("runs", lambda r: r["dice"] >= dice))).alias("r"))
+    return cut.groupBy("doc_id", F.col("r.unit").alias("unit"), "licence").agg(F.max("r.dice").alias("dice"))
+
+
 def licence_units(docs: DataFrame, dice: float = DICE, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
     """(doc_id, unit, licence, dice): the units of ``docs(doc_id, text)`` that name a licence."""
     known = template_pairs(templates)
@@ -134,6 +223,12 @@ def licence_units(docs: DataFrame, dice: float = DICE, templates: dict[str, list
 
 
 def scan(docs: DataFrame, dice: float = DICE, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
-    """Per document and licence: doc_id, licence, dice (the best unit's), n_units (different ones)."""
-    found = licence_units(docs, dice, templates)
-    return found.groupBy("doc_id", "licence").agg(F.max("dice").alias("dice"), F.count("*").alias("n_units"))
+    """Per document and licence: doc_id, licence, dice (the best unit's), n_units (different ones).
+
+    Passages stand for units where no unit names the licence.
+    """
+    found = licence_units(docs, dice, templates).withColumn("rank", F.lit(0))
+    found = found.unionByName(licence_passages(docs, max(dice, DICE), templates).withColumn("rank", F.lit(1)))
+    per = found.groupBy("doc_id", "licence", "rank").agg(F.max("dice").alias("dice"), F.count("*").alias("n_units"))
+    first = per.groupBy("doc_id", "licence").agg(F.min_by(F.struct("dice", "n_units"), "rank").alias("of"))
+    return first.select("doc_id", "licence", "of.dice", "of.n_units")
