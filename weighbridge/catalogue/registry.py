@@ -12,6 +12,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+#: Queries that no SQL can check
+UNCHECKED: dict[str, Query] = {}
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -24,6 +26,14 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def unchecked(name: str) -> Callable[[Query], Query]:
+    def register(fn: Query) -> Query:
+        UNCHECKED[name] = fn
+        return fn
+
+    return register
+
+
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     """Round doubles half to even: the last bits depend on the order of summation."""
     return df.select(*[

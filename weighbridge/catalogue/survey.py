@@ -25,7 +25,7 @@ from ..plans.modelling import modelling_table, split_features
 from ..plans.prepare import attach_regions
 from ..plans.reports import change_between, coverage, mobility, weighted_trend
 from ..sources import settle
-from .registry import query, rounded
+from .registry import query, rounded, unchecked
 from .tables import (
     INDICATORS_SQL,
     REGIONS_SQL,
@@ -591,21 +591,34 @@ def best_of_mean_and_linear(spark, sf_dir):
     return rounded(best_model(_linear_card(spark, sf_dir)), 3)
 
 
+def fit_all(train):
+    """The line, the forest and the boosted trees with the operators' defaults."""
+    return {
+        "linear": linear_model(train, "avg_score"),
+        "forest": forest_model(train, "avg_score"),
+        "boosted": boosted_model(train, "avg_score"),
+    }
+
+
+def _full_card(spark, sf_dir):
+    train, test = _features(spark, sf_dir)
+    return scorecard(train, test, "avg_score", fit_all(train), counts=True)
+
+
 @query("scorecard", with_tables("""
 SELECT model, round_even(rmse, 3) AS rmse, n_test, n_test AS n_predicted FROM card
 UNION ALL SELECT t.model, NULL, n_test, n_test FROM card, (VALUES ('forest'), ('boosted')) t(model) WHERE card.model = 'mean'
 """, *_CARD_SQL))
 def model_scorecard(spark, sf_dir):
-    """All four models on the full predictors; random trees have no SQL twin, so their error is not shown."""
-    train, test = _features(spark, sf_dir)
-    models = {
-        "linear": linear_model(train, "avg_score"),
-        "forest": forest_model(train, "avg_score", trees=20),
-        "boosted": boosted_model(train, "avg_score", rounds=10),
-    }
-    card = scorecard(train, test, "avg_score", models, counts=True)
+    """All four models on the full predictors; random trees have no SQL twin, their error is in ``scorecard_rmse``."""
     shown = F.when(F.col("model").isin("mean", "linear"), F.col("rmse"))
-    return rounded(card.withColumn("rmse", shown), 3)
+    return rounded(_full_card(spark, sf_dir).withColumn("rmse", shown), 3)
+
+
+@unchecked("scorecard_rmse")
+def scorecard_rmse(spark, sf_dir):
+    """The errors of all four models; those of the random trees are held to bounds by tests."""
+    return rounded(_full_card(spark, sf_dir), 3)
 
 
 # On one predictor with few levels a full tree predicts the training mean of each level, and
