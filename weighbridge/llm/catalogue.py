@@ -186,3 +186,42 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licences import scan
 
     return scan(table(spark, sf_dir, "documents"))
+
+
+# unsigned CRC-32 of a decimal number, byte by byte (DuckDB has no function for it)
+_CRC_SQL = """
+crc_table AS MATERIALIZED (SELECT list(c ORDER BY n) AS t FROM (
+  SELECT n, list_reduce(list_concat([n], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c
+  FROM range(256) r(n)))"""
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({x}::VARCHAR, ''), lambda d: ord(d)::BIGINT)),
+    lambda c, b: xor(crc_table.t[(xor(c, b) & 255) + 1], c >> 8)))"""
+
+
+_OP11_SQL = rf"""
+WITH {_CRC_SQL},
+t AS (SELECT conv_id, turn, coalesce(role, '') AS role, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS name,
+        len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words FROM conversations WHERE conv_id IS NOT NULL),
+w AS (SELECT conv_id, list({{'name': name, 'words': words}} ORDER BY turn NULLS FIRST, role, name) AS ts FROM t GROUP BY conv_id),
+h AS (SELECT conv_id, ts, ({_CRC.format(x="conv_id")} % 4)::INTEGER AS h FROM w, crc_table),
+c AS (SELECT h.conv_id, list_concat(coalesce(b.ts, [])[:h.h], h.ts[h.h + 1:]) AS ts FROM h LEFT JOIN w b ON b.conv_id = h.conv_id - h.conv_id % 20),
+p AS MATERIALIZED (SELECT conv_id, len(ts) AS n, list_transform(ts, lambda x: x.name) AS names, list_transform(ts, lambda x: x.words) AS words FROM c),
+m AS (SELECT conv_id, n, unnest(range(0, n + 1)) AS depth, names, words FROM p),
+k AS (SELECT conv_id, n, depth, md5(array_to_string(names[:depth], '')) AS node, md5(array_to_string(names[:depth - 1], '')) AS above,
+        names[:depth] AS path, CASE WHEN depth > 0 THEN words[depth] ELSE 0 END AS words FROM m),
+g AS MATERIALIZED (SELECT node, depth, CASE WHEN depth > 0 THEN any_value(above) END AS above, any_value(path) AS path, min(conv_id) AS conv_id,
+        count(*) AS n_convs, (count(*) - 1) * any_value(words) AS saved,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE n = depth), '')) AS ends_sha256 FROM k GROUP BY node, depth),
+a AS (SELECT above AS node, count(*) AS n_children FROM g WHERE above IS NOT NULL GROUP BY above),
+u AS (SELECT md5(array_to_string(g.path[:d], '')) AS node, saved, CASE WHEN n_children IS NULL THEN 1 ELSE 0 END AS leaf
+      FROM (SELECT g.*, n_children, unnest(range(0, depth + 1)) AS d FROM g LEFT JOIN a USING (node)) g),
+s AS (SELECT node, sum(saved)::BIGINT AS saved_tokens, sum(leaf)::BIGINT AS n_leaves FROM u GROUP BY node)
+SELECT g.conv_id, g.depth, b.conv_id AS parent_conv_id, g.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, g.ends_sha256
+FROM g JOIN s USING (node) LEFT JOIN a USING (node) LEFT JOIN g b ON b.node = g.above
+"""
+
+
+@query("op11_prefix_trie", _OP11_SQL)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))
