@@ -225,3 +225,53 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .prefix_trie import prefix_trie
 
     return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def _op12_sql(levels: int = 6) -> str:
+    """Levels are written out: ``levels`` of them hold 16^6 leaves a source and sources."""
+    def field(x: str, text: bool = True) -> str:
+        size = f"strlen({x}::VARCHAR)" if text else f"length({x}::VARCHAR)"
+        return f"coalesce({size} || ':' || {x}, '-')"
+
+    start = " || ".join([field("doc_id", False), field("source"), field("lang"), field("n_chars", False)])
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    steps = [_CRC_SQL.strip(), f"""
+d AS (SELECT doc_id, coalesce('1' || source, '0') AS tree, sha256({start} || {field("text")}) AS leaf,
+  CASE WHEN {_CRC.format(x="doc_id")} % 5 = 0 THEN sha256({start} || {field(lower)}) END AS altered FROM documents, crc_table),
+a0 AS MATERIALIZED (SELECT *, leaf AS h, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM d)"""]
+
+    def level(prefix: str, k: int) -> None:
+        steps.append(f"""
+{prefix}{k + 1} AS MATERIALIZED (SELECT tree, pos // 16 AS pos, CASE WHEN n > 1 THEN ceil(n / 16.0)::BIGINT ELSE 1 END AS n,
+  CASE WHEN n > 1 THEN sha256(string_agg(h, '' ORDER BY pos)) ELSE min(h) END AS h FROM {prefix}{k} GROUP BY tree, pos // 16, n)""")
+        steps.append(f"""
+{prefix}s{k} AS MATERIALIZED (SELECT tree, pos // 16 AS run, n > 1 AS many, list(h ORDER BY pos) AS hs FROM {prefix}{k} GROUP BY tree, pos // 16, n > 1)""")
+
+    for k in range(levels):
+        level("a", k)
+    steps.append(f"\nb0 AS MATERIALIZED (SELECT '2' AS tree, tree AS source, h, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM a{levels})")
+    for k in range(levels):
+        level("b", k)
+    steps.append(f"""
+c0 AS (SELECT a0.doc_id, a0.leaf, a0.tree, a0.pos AS apos, b0.pos AS bpos, b0.h AS subroot, coalesce(a0.altered, a0.leaf) AS f, '' AS proof
+  FROM a0 JOIN b0 ON b0.source = a0.tree)""")
+    number = 0
+    for prefix in "ab":
+        tree, pos = ("c.tree", "apos") if prefix == "a" else ("'2'", "bpos")
+        for k in range(levels):
+            i = f"({pos} // {16 ** k} % 16)"
+            before, after = f"array_to_string(s.hs[:{i}], '')", f"array_to_string(s.hs[{i} + 2:], '')"
+            steps.append(f"""
+c{number + 1} AS (SELECT doc_id, leaf, c.tree, apos, bpos, subroot, CASE WHEN many THEN sha256({before} || f || {after}) ELSE f END AS f,
+  CASE WHEN many THEN proof || {before} || {after} ELSE proof END AS proof FROM c{number} c JOIN {prefix}s{k} s ON s.tree = {tree} AND s.run = {pos} // {16 ** (k + 1)})""")
+            number += 1
+    return "WITH " + ",".join(steps) + f"""
+SELECT doc_id, leaf, subroot, r.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = r.h AS verified FROM c{number}, b{levels} r
+"""
+
+
+@query("op12_merkle_manifest", _op12_sql())
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .manifest import manifest
+
+    return manifest(table(spark, sf_dir, "documents"))
