@@ -275,3 +275,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .manifest import manifest
 
     return manifest(table(spark, sf_dir, "documents"))
+
+
+@query("op13_vector_dedup")
+def op13_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
