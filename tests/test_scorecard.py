@@ -20,7 +20,9 @@ def test_errors_of_all_models(spark):
     import __spark_entry__ as entry
 
     card = {r.model: r for r in entry.queries()["scorecard_rmse"](spark, SF_DIR).collect()}
-    print(card)
     assert set(card) == {"mean", "linear", "forest", "boosted"}
     assert all(r.n_test == r.n_predicted > 0 for r in card.values())
-    assert all(0 < r.rmse < 2 * card["mean"].rmse for r in card.values())
+    # these few hundred rows hold a score that hardly follows the predictors, so that trees learn noise;
+    # tests/test_models.py holds them to a known structure
+    bound = {"mean": 1.0, "linear": 1.1, "forest": 1.1, "boosted": 1.5}
+    assert all(0 < r.rmse <= bound[r.model] * card["mean"].rmse for r in card.values())

@@ -12,6 +12,7 @@ from ..operators.models import (
     best_model,
     boosted_model,
     feature_table,
+    fit_models,
     forest_model,
     linear_model,
     scorecard,
@@ -21,7 +22,7 @@ from ..operators.split import assign_split, split_report
 from ..operators.trends import correlations, fit_band, line_fit
 from ..plans.gaps import gap_latest, gap_segments, gender_gap, sector_gap
 from ..plans.indicators import gap_axis, gdp_points, parity_points, ratio_points, spending_points
-from ..plans.modelling import modelling_table, split_features
+from ..plans.modelling import FITTERS, modelling_table, split_features
 from ..plans.prepare import attach_regions
 from ..plans.reports import change_between, coverage, mobility, weighted_trend
 from ..sources import settle
@@ -529,9 +530,9 @@ def rmse_mean_baseline(spark, sf_dir):
 
 
 @query("linear_one_feature", with_tables("""
-, fit AS (SELECT regr_slope(avg_score, escs) AS b, regr_intercept(avg_score, escs) AS a FROM marked
-          WHERE NOT is_test AND escs IS NOT NULL)
-SELECT row_id, round_even(a + b * escs, 3) AS linear FROM marked, fit WHERE is_test AND escs IS NOT NULL
+, rows AS MATERIALIZED (SELECT row_id, is_test, escs, avg_score FROM marked WHERE escs IS NOT NULL AND avg_score IS NOT NULL),
+fit AS MATERIALIZED (SELECT regr_slope(avg_score, escs) AS b, regr_intercept(avg_score, escs) AS a FROM rows WHERE NOT is_test)
+SELECT row_id, round_even(a + b * escs, 3) AS linear FROM rows, fit WHERE is_test
 """, STUDENTS_SQL, _SPLIT_SQL))
 def linear_one_feature(spark, sf_dir):
     marked = settle(_marked(spark, sf_dir, True, "avg_score", "escs"))
@@ -593,11 +594,7 @@ def best_of_mean_and_linear(spark, sf_dir):
 
 def fit_all(train):
     """The line, the forest and the boosted trees with the operators' defaults."""
-    return {
-        "linear": linear_model(train, "avg_score"),
-        "forest": forest_model(train, "avg_score"),
-        "boosted": boosted_model(train, "avg_score"),
-    }
+    return fit_models(train, "avg_score", FITTERS)
 
 
 def _full_card(spark, sf_dir):
@@ -621,31 +618,75 @@ def scorecard_rmse(spark, sf_dir):
     return rounded(_full_card(spark, sf_dir), 3)
 
 
-# On one predictor with few levels a full tree predicts the training mean of each level, and
-# later boosting rounds find nothing left.
-_LEVELS_SQL = """
-levels AS (SELECT year, avg(avg_score) AS p FROM marked WHERE NOT is_test GROUP BY year),
-level_card AS (
-  SELECT '{name}' AS model, sqrt(avg((avg_score - p) ** 2)) AS rmse FROM marked JOIN levels USING (year) WHERE is_test
-  UNION ALL
-  SELECT 'mean', sqrt(avg((avg_score - (SELECT avg(avg_score) FROM marked WHERE NOT is_test)) ** 2)) FROM marked WHERE is_test)"""
+# Trees on predictors with few levels: every level is a cut point, so a greedy search in SQL meets the same splits.
+_TREE_FEATURES = ("year", "stu_wgt", "escs_band")
+_TREE_BASE = """
+tree_rows AS MATERIALIZED (
+  SELECT is_test, y, p FROM (SELECT is_test, avg_score AS y, [year::DOUBLE, stu_wgt::DOUBLE, floor(escs / 1000)] AS p
+    FROM marked m JOIN (SELECT row_id, stu_wgt FROM student) s USING (row_id))
+  WHERE y IS NOT NULL AND p[1] IS NOT NULL AND p[2] IS NOT NULL AND p[3] IS NOT NULL)"""
+
+
+def _tree_sql(name: str, source: str, target: str, depth: int, least: str) -> list[str]:
+    """Greedy variance splits, level by level: ``{name}`` is ``source`` with the tree's prediction ``t``.
+
+    A split needs ``least`` training rows on both sides; of equal gains the first predictor and the lowest level count.
+    """
+    steps = [f"{name}_0 AS MATERIALIZED (SELECT *, {target} AS r, 1 AS node FROM {source})"]
+    for level in range(depth):
+        rows = f"{name}_{level}"
+        steps.append(f"""
+{name}_split{level} AS MATERIALIZED (
+  WITH cells AS (SELECT node, f, v, sum(r) AS s, count(*) AS n FROM (
+                   SELECT node, r, unnest([1, 2, 3]) AS f, unnest(p) AS v FROM {rows} WHERE NOT is_test AND node >= {2 ** level}) GROUP BY node, f, v),
+  cuts AS (SELECT node, f, v, sum(s) OVER upto AS sl, sum(n) OVER upto AS nl, sum(s) OVER whole AS sa, sum(n) OVER whole AS na FROM cells
+           WINDOW upto AS (PARTITION BY node, f ORDER BY v), whole AS (PARTITION BY node, f)),
+  gains AS (SELECT node, f, v, sl * sl / nl + (sa - sl) * (sa - sl) / (na - nl) - sa * sa / na AS gain FROM cuts
+            WHERE nl >= {least} AND na - nl >= {least})
+  SELECT node, f, v FROM gains WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, v) = 1)""")
+        steps.append(f"""
+{name}_{level + 1} AS MATERIALIZED (SELECT x.* EXCLUDE (node), CASE WHEN s.node IS NULL THEN x.node WHEN p[s.f] <= s.v THEN 2 * x.node ELSE 2 * x.node + 1 END AS node
+  FROM {rows} x LEFT JOIN {name}_split{level} s ON s.node = x.node)""")
+    steps.append(f"""
+{name} AS MATERIALIZED (SELECT x.* EXCLUDE (node, r), t FROM {name}_{depth} x JOIN (
+  SELECT node, avg(r) AS t FROM {name}_{depth} WHERE NOT is_test GROUP BY node) USING (node))""")
+    return steps
+
+
+def _card_sql(model: str, source: str, prediction: str) -> str:
+    return f"""
+SELECT '{model}' AS model, round_even(sqrt(avg((y - {prediction}) ** 2)), 3) AS rmse, count(*) AS n_test, count(*) AS n_predicted FROM {source} WHERE is_test
+UNION ALL SELECT 'mean', round_even(sqrt(avg((y - (SELECT avg(y) FROM tree_rows WHERE NOT is_test)) ** 2)), 3), count(*), count(*) FROM tree_rows WHERE is_test"""
+
+
+def _forest_sql(depth: int, leaf_share: float) -> str:
+    least = f"(SELECT greatest(5, ceil(count(*) * {leaf_share}::DOUBLE)) FROM tree_rows WHERE NOT is_test)"
+    return ",\n" + ",".join([_TREE_BASE.strip(), *_tree_sql("tree", "tree_rows", "y", depth, least)]) + _card_sql("forest", "tree", "t")
+
+
+def _boosted_sql(rounds: int, depth: int, rate: float) -> str:
+    steps, source = [_TREE_BASE.strip(), "f0 AS (SELECT *, 0::DOUBLE AS f FROM tree_rows)"], "f0"
+    for k in range(rounds):
+        steps += _tree_sql(f"tree{k}", source, "y - f", depth, "1")
+        source = f"f{k + 1}"
+        steps.append(f"{source} AS MATERIALIZED (SELECT is_test, y, p, f + {1 if k == 0 else rate} * t AS f FROM tree{k})")
+    return ",\n" + ",".join(steps) + _card_sql("boosted", source, "f")
 
 
-def _level_card(spark, sf_dir, name, fit):
-    marked = settle(_marked(spark, sf_dir, False, "avg_score", "year").select("avg_score", "year", "is_test"))
-    rows = settle(feature_table(marked, "avg_score", ["year"], ["is_test"]))
+def _tree_card(spark, sf_dir, name, fit):
+    """Hold-out error of one tree model on three predictors of few levels."""
+    marked = _marked(spark, sf_dir, True, "avg_score", "year", "stu_wgt", F.floor(F.col("escs") / 1000).cast("double").alias("escs_band"))
+    rows = settle(feature_table(marked, "avg_score", _TREE_FEATURES, ["is_test"]))
     train, test = rows.where(~F.col("is_test")).drop("is_test"), rows.where("is_test").drop("is_test")
-    return rounded(scorecard(train, test, "avg_score", {name: fit(train)}), 3)
+    return rounded(scorecard(train, test, "avg_score", {name: fit(train)}, counts=True), 3)
 
 
-@query("forest", with_tables("\nSELECT model, round_even(rmse, 3) AS rmse FROM level_card",
-                             STUDENTS_SQL, _SPLIT_SQL, _LEVELS_SQL.format(name="forest")))
+@query("forest", with_tables(_forest_sql(4, 0.01), STUDENTS_SQL, _SPLIT_SQL))
 def forest(spark, sf_dir):
-    return _level_card(spark, sf_dir, "forest", lambda train: forest_model(
-        train, "avg_score", trees=10, predictors="all", bootstrap=False))
+    return _tree_card(spark, sf_dir, "forest", lambda train: forest_model(
+        train, "avg_score", trees=10, depth=4, predictors="all", bootstrap=False, leaf_share=0.01))
 
 
-@query("boosted", with_tables("\nSELECT model, round_even(rmse, 3) AS rmse FROM level_card",
-                              STUDENTS_SQL, _SPLIT_SQL, _LEVELS_SQL.format(name="boosted")))
+@query("boosted", with_tables(_boosted_sql(5, 3, 0.3), STUDENTS_SQL, _SPLIT_SQL))
 def boosted(spark, sf_dir):
-    return _level_card(spark, sf_dir, "boosted", lambda train: boosted_model(train, "avg_score", rounds=10))
+    return _tree_card(spark, sf_dir, "boosted", lambda train: boosted_model(train, "avg_score", rounds=5, depth=3))
