@@ -35,14 +35,13 @@ def test_weighted_mean_by_hand(spark, data):
 
 @few
 @given(st.lists(st.tuples(st.sampled_from("ab"), number), min_size=1, max_size=60))
-def test_both_quantile_ways_by_hand(spark, data):
+def test_quantiles_by_hand(spark, data):
     df = spark.createDataFrame(data, "g STRING, x DOUBLE")
-    for hot_rows in (10**6, 0):
-        for g, *cuts in exact_quantiles(df, ["x"], ["g"], hot_rows=hot_rows).collect():
-            values = [x for k, x in data if k == g and x is not None]
-            want = [quantile(values, p) for p in (0.25, 0.5, 0.75)] if values else [None] * 3
-            for a, b in zip(cuts, want):
-                assert a is b is None or math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-6)
+    for g, *cuts in exact_quantiles(df, ["x"], ["g"]).collect():
+        values = [x for k, x in data if k == g and x is not None]
+        want = [quantile(values, p) for p in (0.25, 0.5, 0.75)] if values else [None] * 3
+        for a, b in zip(cuts, want):
+            assert a is b is None or math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-6)
 
 
 @few
@@ -50,10 +49,7 @@ def test_both_quantile_ways_by_hand(spark, data):
 def test_split_sizes(spark, sizes, p):
     data = [(f"s{k}", f"{k}-{i}") for k, n in enumerate(sizes) for i in range(n)]
     df = spark.createDataFrame(data, "s STRING, id STRING")
-    for hot_rows in (10**6, 5):
-        got = dict(
-            assign_split(df, "s", "id", p, 3, hot_rows).groupBy("s").agg(F.count_if("is_test")).collect()
-        )
-        for k, n in enumerate(sizes):
-            drawn = math.ceil(n * p)
-            assert got[f"s{k}"] == (drawn if drawn < n else 0)
+    got = dict(assign_split(df, "s", "id", p, 3).groupBy("s").agg(F.count_if("is_test")).collect())
+    for k, n in enumerate(sizes):
+        drawn = math.ceil(n * p)
+        assert got[f"s{k}"] == (drawn if drawn < n else 0)

@@ -154,12 +154,10 @@ SELECT stage, statistic, round_even(max(CASE WHEN subject = 'math' THEN v END),
 FROM cells GROUP BY stage, statistic
 """, STUDENTS_SQL))
 def summary_before_after(spark, sf_dir):
-    before = settle(students(spark, sf_dir).select(*SCORES))
-    after = within(before, SCORES, *SCORE_RANGE)
-    return rounded(append_rows(*[
-        score_summary(df, SCORES).select(F.lit(stage).alias("stage"), "statistic", *SCORES)
-        for stage, df in (("before", before), ("after", after))
-    ]))
+    before = students(spark, sf_dir).select(*SCORES)
+    stages = {"before": before, "after": within(before, SCORES, *SCORE_RANGE)}
+    tagged = settle(append_rows(*[df.withColumn("stage", F.lit(stage)) for stage, df in stages.items()]), ("stage",))
+    return rounded(score_summary(tagged, SCORES, ["stage"]).select("stage", "statistic", *SCORES))
 
 
 @query("country_harmonise", with_tables("""

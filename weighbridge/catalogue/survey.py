@@ -130,8 +130,8 @@ def _bands_sql(values):
 
 
 def _stored_students(spark, sf_dir, *columns, years=None):
-    """The student table with background index, written once because bands read it repeatedly."""
-    return settle(students(spark, sf_dir, background=True, years=years).select(*columns))
+    """The student table with background index, written once by cycle because bands read it repeatedly."""
+    return settle(students(spark, sf_dir, background=True, years=years).select(*columns), ("year",))
 
 
 @query("quantile_cuts", with_tables(

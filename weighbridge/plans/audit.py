@@ -12,7 +12,7 @@ from ..functions import distinct_values, has_number, recode, truncate_label
 from ..operators.grouped import row_counts
 from ..operators.joins import join_on
 from ..operators.quality import label_conflicts
-from ..operators.quantiles import HOT_ROWS, exact_quantiles, quantile_name
+from ..operators.quantiles import exact_quantiles, quantile_name
 from ..operators.reshape import append_rows, spread
 from .prepare import attach_regions
 from .roles import DEFAULT, Roles
@@ -28,27 +28,28 @@ def participation(students: DataFrame, schools: DataFrame, roles: Roles = DEFAUL
     ).orderBy(roles.year)
 
 
-def score_summary(df: DataFrame, columns: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Six-number summary: one row per statistic, one column per score.
+def score_summary(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Six-number summary: one row per group and statistic, one column per score.
 
-    ``df`` is read several times, so pass a stored table.
+    ``df`` is read three times, so pass a stored table.
     """
+    by = list(by)
     keys = ("low", "q25", "q50", "mean", "q75", "high")
     values = {c: F.when(has_number(F.col(c)), F.col(c)) for c in columns}
-    moments = df.agg(*[
+    moments = (df.na.drop(subset=by) if by else df).groupBy(*by).agg(*[
         agg(v).alias(f"{c}|{key}")
         for c, v in values.items()
         for key, agg in (("low", F.min), ("mean", F.avg), ("high", F.max))
     ])
-    cuts = exact_quantiles(df, columns, (), QUARTILES, hot_rows).withColumnsRenamed({
+    cuts = exact_quantiles(df, columns, by, QUARTILES).withColumnsRenamed({
         quantile_name(c, p): f"{c}|q{round(p * 100)}" for c in columns for p in QUARTILES
     })
-    long = append_rows(*[row.unpivot([], row.columns, "item", "value") for row in (moments, cuts)])
+    long = append_rows(*[row.unpivot(by, [c for c in row.columns if c not in by], "item", "value") for row in (moments, cuts)])
     item = F.split("item", r"\|")
     statistic = recode(item[1], dict(zip(keys, SUMMARY_STATISTICS)))
     return spread(
-        long.select(statistic.alias("statistic"), item[0].alias("subject"), "value"),
-        "subject", columns, "value", ["statistic"],
+        long.select(*by, statistic.alias("statistic"), item[0].alias("subject"), "value"),
+        "subject", columns, "value", [*by, "statistic"],
     )
 
 

@@ -17,6 +17,8 @@ def local_session(cores: int | str = "*", app: str = "weighbridge", memory: str
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.sql.adaptive.enabled", "true")
+        # small tables keep all cores busy; the default joins shuffle partitions up to 1 MB
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
