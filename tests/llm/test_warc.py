@@ -1,6 +1,7 @@
 """op7: archives are read back as written."""
 
 import gzip
+import io
 import hashlib
 
 from weighbridge.llm.warc import captures, page_number, parse, records, round_trip, write_archives
@@ -13,7 +14,6 @@ def pages(spark, *rows):
 
 
 def brute_force(rows):
-    rows = set(rows)
     out = []
     for page, url, html in rows:
         data = (html or "").encode()
@@ -57,9 +57,24 @@ def test_archives_are_warc(spark, tmp_path):
     for f in (tmp_path / "w").glob("*.gz"):
         data = gzip.decompress(f.read_bytes())
         assert not data or data.startswith(b"WARC/1.1\r\nWARC-Type: request\r\n")
-        for fields, block in parse(data):
+        for fields, block in parse(io.BytesIO(data)):
             kinds.append(fields["warc-type"])
             assert len(block) == int(fields["content-length"])
     assert sorted(kinds) == ["metadata"] * 30 + ["request"] * 30 + ["response"] * 30
     assert captures(spark, str(tmp_path / "w")).count() == 30
     assert records(pages(spark)).count() == 0
+
+
+def test_every_row_is_a_capture(spark):
+    import __spark_entry__  # noqa: F401
+    from weighbridge.llm.warc import page_number, round_trip
+
+    html = "<p>" + "x" * 200
+    rows = [(None, "http://a/1", None), (None, "http://a/2", None), (None, "http://a/2", None), (5, "http://a/5", html), (5, "http://b/5", html),
+            (5, "http://b/5", html), (6, "http://a/6", html)]
+    got = round_trip(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    found = sorted(((page_number(got.capture), r) and (r.capture.split(":")[2], r.response.type, r.request is not None, r.metadata is not None) for r in got.collect()))
+    assert found == [("5", "response", True, True)] * 3 + [("6", "revisit", True, True)] + [("none", "response", True, True)] * 3
+    refers = [r[0] for r in got.filter("response.type = 'revisit'").select(page_number(got.response.refers_to)).collect()]
+    ids = {r.capture for r in got.collect()}
+    assert refers == [5] and got.filter("response.type = 'revisit'").first().response.refers_to in ids

@@ -9,21 +9,23 @@ Writing uses Spark's text writer with the record end ``\r\n\r\n`` as line end, s
 WARC/1.1 files, gzip-compressed, of at most ``PAGES_PER_FILE`` pages. Only pages whose digest occurs
 more than once are looked up by digest; counts and minima combine before the shuffle.
 
-Reading takes one file at a time, finds records by Content-Length and checks every payload digest.
+Reading takes one file at a time, unpacks it record by record, finds records by Content-Length and checks every payload digest.
 Records meet by capture id in one shuffle, in which a capture has its three records however popular
 its payload is.
 
 Rows: a null html is an empty payload; a null url is left out of the record and comes back null.
-Rows that repeat page_id, url and html are one capture. Rows without page_id are captures with a
-null id; they are never the response of others. Other columns are ignored.
+Every row is a capture, also rows that repeat page_id, url and html, and rows without page_id, which
+have a null id and are never the response of others. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import re
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,8 +41,8 @@ DATE = "2024-01-01T00:00:00Z"  # pages carry no capture time
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def _capture_id(page: Column, digest: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("none")), F.lit(":"), digest, F.lit(">"))
+def _capture_id(page: Column, row: Column, digest: Column) -> Column:
+    return F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("none")), F.lit(":"), row.cast("string"), F.lit(":"), digest, F.lit(">"))
 
 
 def _record(kind: str, fields: list[tuple[str, Column]], block: Column) -> Column:
@@ -54,13 +56,14 @@ def _record(kind: str, fields: list[tuple[str, Column]], block: Column) -> Colum
 def records(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """One text column: three WARC records for every row of ``pages(page_id, url, html)``."""
     html = F.coalesce("html", F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("size"))
-    first = (rows.filter(F.col("size") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-             .filter("n > 1").select("digest", "first"))
+    # every row is a capture of its own, so its number among the scanned rows is part of its id
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.monotonically_increasing_id().alias("row"), "url", html.alias("html"), F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("size"))
+    first = (rows.filter(F.col("size") >= min_revisit).groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row"))).alias("at"), F.count("*").alias("n"))
+             .filter("n > 1").select("digest", F.col("at.page_id").alias("first"), F.col("at.row").alias("first_row")))
     rows = rows.join(first, "digest", "left")
     again = F.coalesce(F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") > F.col("first"))), F.lit(False))
     url = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
-    own = _capture_id(F.col("page_id"), F.col("digest"))
+    own = _capture_id(F.col("page_id"), F.col("row"), F.col("digest"))
     target = ("WARC-Target-URI", url)
     digest = ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest")))
     http = ("Content-Type", F.lit("application/http"))
@@ -69,7 +72,7 @@ def records(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
                       F.concat(F.lit("GET "), path, F.lit(" HTTP/1.1" + END)))
     response = _record("response", [("WARC-Record-ID", own), target, digest, http], F.concat(F.lit(HTTP_OK), F.col("html")))
     revisit = _record("revisit", [("WARC-Record-ID", own), target, digest, http, ("WARC-Profile", F.lit(_PROFILE)),
-                                  ("WARC-Refers-To", _capture_id(F.col("first"), F.col("digest")))], F.lit(HTTP_OK))
+                                  ("WARC-Refers-To", _capture_id(F.col("first"), F.col("first_row"), F.col("digest")))], F.lit(HTTP_OK))
     metadata = _record("metadata", [("WARC-Record-ID", F.concat(F.lit("<urn:metadata:"), F.substring(own, 6, 200))), ("WARC-Concurrent-To", own), target,
                                     ("Content-Type", F.lit("application/warc-fields"))], F.concat(F.lit("payload-bytes: "), F.col("size").cast("string")))
     return rows.select(F.concat(request, F.lit(END), F.when(again, revisit).otherwise(response), F.lit(END), metadata).alias("value"))
@@ -83,17 +86,17 @@ def write_archives(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT)
 _FIELD = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)")
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields by lower-case name, block) of every record of an archive."""
-    at = 0
-    while at < len(data):
-        if not data.startswith(b"WARC/", at):
-            raise ValueError(f"no record at byte {at}")
-        body = data.index(b"\r\n\r\n", at) + 4
-        fields = {k.decode().lower(): v.decode() for k, v in _FIELD.findall(data, data.index(b"\r\n", at) + 2, body)}
-        size = int(fields["content-length"])
-        yield fields, data[body : body + size]
-        at = body + size + 4
+def parse(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(header fields by lower-case name, block) of every record of an archive, one after the other."""
+    while line := stream.readline():
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no record where one should begin: {line[:80]!r}")
+        head = b""
+        while (line := stream.readline()) not in (b"\r\n", b""):
+            head += line
+        fields = {k.decode().lower(): v.decode() for k, v in _FIELD.findall(head)}
+        yield fields, stream.read(int(fields["content-length"]))
+        stream.read(4)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -105,9 +108,9 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column("content"):
                 content = content.as_py()
-                data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-                rows = []
-                for fields, block in parse(data):
+                packed = io.BytesIO(content)
+                rows, held = [], 0
+                for fields, block in parse(gzip.GzipFile(fileobj=packed) if content[:2] == b"\x1f\x8b" else packed):
                     kind, digest = fields["warc-type"], fields.get("warc-payload-digest", ":").partition(":")[2]
                     payload = block.partition(b"\r\n\r\n")[2] if kind == "response" else None
                     sha = hashlib.sha256(payload).hexdigest() if payload is not None else None
@@ -116,9 +119,10 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((kind, fields["warc-record-id"], fields.get("warc-concurrent-to", fields["warc-record-id"]), fields.get("warc-target-uri"),
                                  fields.get("warc-refers-to"), digest, payload, None if payload is None else len(payload), sha,
                                  None if payload is not None else block.decode()))
-                    if len(rows) == 500:
+                    held += len(block)
+                    if len(rows) == 500 or held > 1 << 24:
                         yield _batch(rows)
-                        rows = []
+                        rows, held = [], 0
                 if rows:
                     yield _batch(rows)
 
