@@ -9,7 +9,7 @@ only templates of fitting size that share a pair with it.
 
 A unit that names a template of b pairs has at least b dice / (2 - dice) of them, so it has one of any
 b - b dice / (2 - dice) + 1. The longest pairs, seldom found in other text, are taken for that test, in
-the row itself; only units that pass are spread into their pairs and grouped. The template table is
+the row itself; only units that pass are spread into their pairs and grouped, and only texts with a telling pair are cut into units at all. The template table is
 a fixed list of a few hundred pairs. No unit is cut short, whatever its length.
 
 Notices also stand across line feeds, behind comment marks, or between other words of a line. For the
@@ -32,6 +32,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import settle
+
 DICE = 0.8
 
 # Notices as their licences word them
@@ -172,11 +174,26 @@ def _best_of_overlapping(found: Column) -> Column:
     return F.aggregate(found, F.slice(found, 1, 0), add)
 
 
+def _possible(docs: DataFrame, dice: float, templates: dict[str, list[str]]) -> DataFrame:
+    """doc_id and text of the rows that hold a telling pair: no other can name a licence.
+
+    Every pair of a unit or a passage is a pair of the whole text. One search per text, before anything is split:
+    the alternatives share their first word, and begin only where a word begins.
+    """
+    follow: dict[str, list[str]] = {}
+    for pair in _telling(template_pairs(templates), dice):
+        first, second = pair.split(" ")
+        follow.setdefault(first, []).append(second)
+    some = "|".join(f"{first}[^a-z0-9]+(?:{'|'.join(seconds)})" for first, seconds in follow.items())
+    texts = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
+    return texts.filter(F.lower("text").rlike(f"(?<![a-z0-9])(?:{some})(?![a-z0-9])"))
+
+
 def licence_passages(docs: DataFrame, dice: float = DICE, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
     """(doc_id, unit, licence, dice): the passages of ``docs(doc_id, text)`` that name a licence, as their words."""
     known = template_pairs(templates)
     every = F.array(*[F.lit(p) for p in dict.fromkeys(r[3] for r in known)])
-    cut = docs.filter("doc_id is not null and text is not null").select("doc_id", _once(_words("text")).alias("words"))
+    cut = _possible(docs, dice, templates).select("doc_id", _once(_words("text")).alias("words"))
     cut = cut.select("doc_id", "words", _once(_pairs("words")).alias("pairs"))
     cut = cut.filter(F.arrays_overlap("pairs", F.array(*[F.lit(p) for p in _telling(known, dice)])))
     cut = cut.select("doc_id", "words", "pairs", _once(F.array_intersect("pairs", every)).alias("met"))
@@ -199,10 +216,7 @@ def licence_units(docs: DataFrame, dice: float = DICE, templates: dict[str, list
     known = template_pairs(templates)
     table = docs.sparkSession.createDataFrame(known, "licence string, template int, size int, pair string")
     telling = _telling(known, dice)
-    texts = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
-    # a text without any telling pair's longer word names nothing: most texts end here, after one pass
-    words_of = F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "), " ")
-    texts = texts.filter(F.arrays_overlap(words_of, F.array(*[F.lit(w) for w in sorted({max(p.split(), key=len) for p in telling})])))
+    texts = _possible(docs, dice, templates)
     lines = F.split("text", "\n")
     sentences = F.split(F.regexp_replace("text", r"([.!?:])\s+", "$1\n"), "\n")
     units = texts.select("doc_id", F.explode(F.array_distinct(F.concat(F.array("text"), lines, sentences))).alias("unit"))
@@ -227,6 +241,8 @@ def scan(docs: DataFrame, dice: float = DICE, templates: dict[str, list[str]] =
 
     Passages stand for units where no unit names the licence.
     """
+    # both ways read the few texts that are left, so the table itself is read once
+    docs = settle(_possible(docs, dice, templates))
     found = licence_units(docs, dice, templates).withColumn("rank", F.lit(0))
     found = found.unionByName(licence_passages(docs, max(dice, DICE), templates).withColumn("rank", F.lit(1)))
     per = found.groupBy("doc_id", "licence", "rank").agg(F.max("dice").alias("dice"), F.count("*").alias("n_units"))
