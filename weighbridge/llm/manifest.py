@@ -9,7 +9,7 @@ the root. Hashes are lower-case hex; a run's hash is that of its hashes one afte
 * Each level is one aggregation of the level below. Every node is stored with its place, the place
   of its parent, and the siblings before and after it (``links``).
 * A recursive query climbs these links from every run of leaves: a step appends the siblings of
-  the current node to the proof and folds each leaf's own hash with them. The leaves of a
+  the current node to the proof and folds each leaf's own hash, altered or not, with them. The leaves of a
   run stand in one row, as their way up is the same, so a row carries one proof for up to 16 leaves, and
   a leaf's own siblings are added at the end.
 
@@ -84,8 +84,8 @@ def _links(parents: DataFrame, up_level: int, tree: Column, level: Column, pos:
         F.col("tree").alias("up_tree"), F.lit(up_level).alias("up_level"), F.col("pos").alias("up_pos"), F.col("digest").alias("up_digest"),
         F.col("children.digest").alias("hashes"), F.posexplode("children").alias("i", "child"))
     return child.select(
-        tree.alias("tree"), level.alias("level"), pos.alias("pos"), "up_tree", "up_level", "up_pos", "up_digest",
-        F.expr("array_join(slice(hashes, 1, i), '')").alias("before"), F.expr("array_join(slice(hashes, i + 2, size(hashes)), '')").alias("after"))
+        tree.alias("tree"), level.alias("level"), pos.alias("pos"), "up_tree", "up_level", "up_pos", F.unhex("up_digest").alias("up_digest"),
+        F.expr("unhex(array_join(slice(hashes, 1, i), ''))").alias("before"), F.expr("unhex(array_join(slice(hashes, i + 2, size(hashes)), ''))").alias("after"))
 
 
 def _climbing(nodes: DataFrame, links: list[DataFrame], tops: list[DataFrame], level: int = 1) -> int:
@@ -138,7 +138,7 @@ def build(docs: DataFrame) -> tuple[DataFrame, DataFrame, tuple[str, int]]:
 
 
 def _no_links(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "tree string, level int, pos long, up_tree string, up_level int, up_pos long, up_digest string, before string, after string")
+    return spark.createDataFrame([], "tree string, level int, pos long, up_tree string, up_level int, up_pos long, up_digest binary, before binary, after binary")
 
 
 @contextmanager
@@ -154,28 +154,30 @@ def _unlimited_recursion(spark: SparkSession) -> Iterator[None]:
 
 
 def climb(runs: DataFrame, links: DataFrame, root: tuple[str, int]) -> DataFrame:
-    """(items, proof, subroot, root) per run, at the end of its way up; items: doc_id, leaf, folded.
+    """(tree, pos, folded, proof, subroot, root) per run, at the end of its way up; hashes are binary.
 
-    ``proof`` holds the siblings above the run, ``folded`` what the leaf, altered or not, makes of the root.
+    ``proof`` holds the siblings above the run, ``folded`` what each of its leaves, altered or not, makes of
+    the root. Every step of a recursive query is written and kept, so rows carry nothing else.
     """
     spark = runs.sparkSession
-    starts = runs.selectExpr("tree", "1 AS level", "pos", """transform(items, (x, i) -> named_struct('doc_id', x.doc_id, 'leaf', x.leaf, 'folded',
+    starts = runs.selectExpr("tree", "1 AS level", "pos", "pos AS run", """transform(items, (x, i) -> unhex(
       if(size(items) = 1 and total = 1, coalesce(x.altered, x.leaf), sha2(concat(
-        array_join(slice(items.leaf, 1, i), ''), coalesce(x.altered, x.leaf), array_join(slice(items.leaf, i + 2, size(items)), '')), 256)))) AS items""", "digest")
+        array_join(slice(items.leaf, 1, i), ''), coalesce(x.altered, x.leaf), array_join(slice(items.leaf, i + 2, size(items)), '')), 256)))) AS folded""", "unhex(digest) AS digest")
     names = {name: f"{name}_{uuid.uuid4().hex}" for name in ("starts", "links")}
     starts.createOrReplaceTempView(names["starts"])
     links.createOrReplaceTempView(names["links"])
     try:
         with _unlimited_recursion(spark):
             ways = spark.sql(f"""
-              WITH RECURSIVE climb (tree, level, pos, items, proof, subroot, digest) AS (
-                SELECT tree, level, pos, items, '', digest, digest FROM {names["starts"]}
+              WITH RECURSIVE climb (of, run, tree, level, pos, folded, proof, subroot, digest) AS (
+                SELECT tree, run, tree, level, pos, folded, X'', digest, digest FROM {names["starts"]}
                 UNION ALL
-                SELECT l.up_tree, l.up_level, l.up_pos,
-                  transform(c.items, x -> named_struct('doc_id', x.doc_id, 'leaf', x.leaf, 'folded', sha2(concat(l.before, x.folded, l.after), 256))),
+                SELECT c.of, c.run, l.up_tree, l.up_level, l.up_pos,
+                  transform(c.folded, x -> unhex(sha2(lower(concat(hex(l.before), hex(x), hex(l.after))), 256))),
                   concat(c.proof, l.before, l.after), if(l.up_tree = '{_ROOT}', c.subroot, l.up_digest), l.up_digest
                 FROM climb c JOIN {names["links"]} l ON c.tree = l.tree AND c.level = l.level AND c.pos = l.pos
-              ) SELECT items, proof, subroot, digest AS root FROM climb WHERE tree = :tree AND level = :level""", {"tree": root[0], "level": root[1]})
+              ) SELECT of AS tree, run AS pos, folded, proof, subroot, digest AS root FROM climb WHERE tree = :tree AND level = :level""",
+                             {"tree": root[0], "level": root[1]})
             return settle(ways)
     finally:
         for name in names.values():
@@ -184,8 +186,11 @@ def climb(runs: DataFrame, links: DataFrame, root: tuple[str, int]) -> DataFrame
 
 def manifest(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, leaf, subroot, root, proof_sha256, folded_root, verified."""
-    each = climb(*build(docs)).select("proof", "subroot", "root", F.col("items.leaf").alias("hashes"), F.posexplode("items").alias("i", "x"))
-    proof = F.expr("concat(array_join(slice(hashes, 1, i), ''), array_join(slice(hashes, i + 2, size(hashes)), ''), proof)")
+    runs, links, root = build(docs)
+    ways = climb(runs, links, root).join(runs.select("tree", "pos", "items"), ["tree", "pos"])
+    each = ways.select("proof", "subroot", "root", "folded", F.col("items.leaf").alias("hashes"), F.posexplode("items").alias("i", "x"))
+    proof = F.expr("concat(array_join(slice(hashes, 1, i), ''), array_join(slice(hashes, i + 2, size(hashes)), ''), lower(hex(proof)))")
+    folded = F.col("folded")[F.col("i")]
     return each.select(
-        "x.doc_id", "x.leaf", "subroot", "root", F.sha2(proof, 256).alias("proof_sha256"), F.col("x.folded").alias("folded_root"),
-        (F.col("x.folded") == F.col("root")).alias("verified"))
+        "x.doc_id", "x.leaf", F.lower(F.hex("subroot")).alias("subroot"), F.lower(F.hex("root")).alias("root"), F.sha2(proof, 256).alias("proof_sha256"),
+        F.lower(F.hex(folded)).alias("folded_root"), (folded == F.col("root")).alias("verified"))
