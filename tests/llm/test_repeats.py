@@ -95,3 +95,28 @@ def test_query(spark, sf):
 
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert result(QUERIES["op4_suffix_dedup"](spark, sf)) == brute_force(rows, 400, False)
+
+
+def test_rows_without_id_are_told_apart_by_their_whole_text(spark):
+    """Two texts of one 32-bit hash: the one that is unique stays whole."""
+    from weighbridge.llm.repeats import removal_report
+
+    shared, unique = "".join(chr(97 + i * 7 % 26) + str(i) for i in range(300)), "".join(chr(97 + i * 5 % 26) + str(i * i) for i in range(150))
+    rows = [(None, shared), (1, shared), (None, unique), (None, "short")]
+    got = removal_report(spark.createDataFrame(rows, "doc_id long, text string"), keep_first=False).collect()
+    assert sorted(((r.n_bytes, r.n_removed, r.text) for r in got)) == sorted([(len(shared), len(shared), "")] * 2 + [(len(unique), 0, unique), (5, 0, "short")])
+
+
+def test_many_equal_rows_cost_in_proportion(spark):
+    from weighbridge.llm.repeats import _anchor_rows, _classes, _contexts, _is_first, _tagged
+    from pyspark.sql import functions as F
+
+    text = "".join(f"{i * i} word {i}, " for i in range(300))
+    sizes = []
+    for copies in (10, 40):
+        docs = spark.createDataFrame([(None, text)] * copies + [(None, "other " + text)], "doc_id long, text string")
+        tagged = _tagged(docs)
+        rows = _anchor_rows(tagged, 400)
+        chosen = rows.join(_classes(rows, "g", "h", "place"), ["g", "h"]).filter((F.col("kinds") >= 1) & _is_first("place"))
+        sizes.append(_contexts(tagged, chosen, 400).count())
+    assert sizes[1] <= 4.2 * sizes[0]

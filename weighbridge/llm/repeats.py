@@ -95,7 +95,7 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
                     pa.array((high - begin).astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)),
                 ], ["doc_id", "tag", "place", "low", "high", "g", "h"])
 
-    return docs.select("doc_id", "tag", "text").mapInArrow(scan, "doc_id long, tag int, place int, low int, high int, g long, h long")
+    return docs.select("doc_id", "tag", "text").mapInArrow(scan, "doc_id long, tag binary, place int, low int, high int, g long, h long")
 
 
 def _classes(rows: DataFrame, outer: str, inner: str, at: str) -> DataFrame:
@@ -117,9 +117,14 @@ def _copies(keep_first: bool, at: str) -> Column:
     return (F.col("n") > 1) & (~_is_first(at) if keep_first else F.lit(True))
 
 
+def _tag() -> Column:
+    """A 128-bit name of the text: rows without doc_id are known by it alone."""
+    return F.unhex(F.md5("text")).alias("tag")
+
+
 def _tagged(docs: DataFrame) -> DataFrame:
-    """doc_id, tag (tells texts of one id apart), text."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("tag"), "text").filter("text is not null")
+    """doc_id, tag (tells texts of one id, or without id, apart), text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _tag(), "text").filter("text is not null")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -130,12 +135,12 @@ def _packed(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tag"),
                                                   pa.array([pack((x or "").encode()) for x in part.column("text").to_pylist()], pa.binary())], ["doc_id", "tag", "packed"])
 
-    return docs.mapInArrow(shrink, "doc_id long, tag int, packed binary")
+    return docs.mapInArrow(shrink, "doc_id long, tag binary, packed binary")
 
 
 def _contexts(docs: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
     """The chosen anchors with the bytes of their contexts."""
-    of = chosen.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("place", "low", "high")).alias("anchors"))
+    of = chosen.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("place", "low", "high")).alias("anchors"))
     texts = _packed(docs)
     both = texts.join(of, texts.doc_id.eqNullSafe(of.doc_id) & (texts.tag == of.tag)).select(texts.doc_id, texts.tag, "packed", "anchors")
 
@@ -151,7 +156,7 @@ def _contexts(docs: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
                     pa.array([text[a : z + length] for a, z in zip(low.tolist(), high.tolist())], pa.binary()),
                 ], ["doc_id", "tag", "place", "low", "high", "bytes"])
 
-    return both.mapInArrow(cut, "doc_id long, tag int, place int, low int, high int, bytes binary")
+    return both.mapInArrow(cut, "doc_id long, tag binary, place int, low int, high int, bytes binary")
 
 
 def _block(contexts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +194,7 @@ def _cells(contexts: DataFrame, length: int) -> DataFrame:
                     pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(outer.view(np.int64)), pa.array(inner.view(np.int64)),
                 ], ["doc_id", "tag", "place", "start", "stop", "g", "h"])
 
-    return contexts.mapInArrow(name, "doc_id long, tag int, place int, start int, stop int, g long, h long")
+    return contexts.mapInArrow(name, "doc_id long, tag binary, place int, start int, stop int, g long, h long")
 
 
 def _windows(contexts: DataFrame, length: int) -> DataFrame:
@@ -214,7 +219,7 @@ def _windows(contexts: DataFrame, length: int) -> DataFrame:
                     pa.array(Rolling(data).at(a, a + length).view(np.int64)), pa.array(Rolling(data, 1).at(a, a + length).view(np.int64)),
                 ], ["doc_id", "tag", "start", "g", "h"])
 
-    return contexts.mapInArrow(name, "doc_id long, tag int, start int, g long, h long")
+    return contexts.mapInArrow(name, "doc_id long, tag binary, start int, g long, h long")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = True) -> DataFrame:
@@ -233,14 +238,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = Tru
     spans.append(shared.filter("copy").select("doc_id", "tag", F.col("start").alias("a"), (F.col("stop") + length).alias("z")))
 
     key = ["doc_id", "tag", "place"]
-    listed = shared.filter("open").groupBy(*key).agg(F.collect_list(F.struct("start", "stop")).alias("cells"))
+    listed = shared.filter("open").groupBy(*key).agg(F.collect_set(F.struct("start", "stop")).alias("cells"))
     on = contexts.doc_id.eqNullSafe(listed.doc_id) & (contexts.tag == listed.tag) & (contexts.place == listed.place)
     windows = settle(_windows(contexts.join(listed, on).select(contexts.doc_id, contexts.tag, "low", "bytes", "cells"), length))
     twice = windows.groupBy("g", "h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).filter("n > 1")
     found = windows.join(twice, ["g", "h"]).filter(_copies(keep_first, "start"))
     spans.append(found.select("doc_id", "tag", F.col("start").alias("a"), (F.col("start") + length).alias("z")))
     every = spans[0].union(spans[1]).union(spans[2])
-    return every.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
+    return every.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("a", "z")).alias("spans"))
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -261,9 +266,12 @@ def kept(data: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 
 def removal_report(docs: DataFrame, length: int = LENGTH, keep_first: bool = True) -> DataFrame:
-    """Per row of ``docs(doc_id, text)``: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """Per row of ``docs(doc_id, text)``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, text.
+
+    ``text`` is what is left, without characters that lost some of their bytes.
+    """
     spans = settle(repeated_spans(docs, length, keep_first))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("tag"), F.coalesce("text", F.lit("")).alias("text"))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _tag(), F.coalesce("text", F.lit("")).alias("text"))
     texts = _packed(ids)
     both = texts.join(spans, texts.doc_id.eqNullSafe(spans.doc_id) & (texts.tag == spans.tag), "left").select(texts.doc_id, "packed", "spans")
 
@@ -273,13 +281,13 @@ def removal_report(docs: DataFrame, length: int = LENGTH, keep_first: bool = Tru
             for packed, spans in zip(batch.column("packed"), batch.column("spans")):
                 data, runs = unpack(packed.as_py()), merged(spans.as_py())
                 left = kept(data, runs)
-                rows.append((len(data), len(data) - len(left), len(runs), hashlib.sha256(left).hexdigest()))
+                rows.append((len(data), len(data) - len(left), len(runs), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore")))
             if rows:
-                size, removed, n, sha = zip(*rows)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(sha)],
-                                                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                size, removed, n, sha, text = zip(*rows)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(sha), pa.array(text)],
+                                                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
-    return both.mapInArrow(report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return both.mapInArrow(report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = True) -> DataFrame:
@@ -291,7 +299,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Tru
         return pd.Series([kept(t.encode(), merged(s)).decode("utf-8", "ignore") if t is not None and s is not None and len(s) else t for t, s in zip(text, spans)])
 
     side = spans.select(F.col("doc_id").alias("_span_id"), F.col("tag").alias("_span_tag"), F.col("spans").alias("_spans"))
-    on = F.col("doc_id").eqNullSafe(F.col("_span_id")) & (F.hash("text") == F.col("_span_tag"))
+    on = F.col("doc_id").eqNullSafe(F.col("_span_id")) & (_tag() == F.col("_span_tag"))
     both = docs.join(side, on, "left")
     new = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut("text", "_spans"))
     return both.select(*[new.alias(c) if c == "text" else F.col(c) for c in docs.columns])
