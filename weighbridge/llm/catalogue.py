@@ -126,7 +126,7 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _OP7_SQL = """
 WITH p AS (
-  SELECT DISTINCT page_id, url, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS payload_digest,
+  SELECT page_id, url, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS payload_digest,
     strlen(coalesce(html, '')) AS payload_bytes FROM pages
 ), f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p)
 SELECT page_id, payload_bytes, payload_digest,
