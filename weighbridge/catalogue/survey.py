@@ -491,7 +491,7 @@ def corr_long(spark, sf_dir):
 
 _SPLIT_SQL = """
 marked AS (
-  SELECT row_id, school_uid, year, avg_score, escs,
+  SELECT row_id, school_uid, year, avg_score, escs, stu_wgt,
          r <= ceil(n * 0.1::DOUBLE) AND ceil(n * 0.1::DOUBLE) < n AS is_test
   FROM (SELECT *, row_number() OVER (PARTITION BY school_uid ORDER BY md5('1:' || row_id), row_id) AS r,
                count(*) OVER (PARTITION BY school_uid) AS n FROM student))"""
@@ -622,8 +622,7 @@ def scorecard_rmse(spark, sf_dir):
 _TREE_FEATURES = ("year", "stu_wgt", "escs_band")
 _TREE_BASE = """
 tree_rows AS MATERIALIZED (
-  SELECT is_test, y, p FROM (SELECT is_test, avg_score AS y, [year::DOUBLE, stu_wgt::DOUBLE, floor(escs / 1000)] AS p
-    FROM marked m JOIN (SELECT row_id, stu_wgt FROM student) s USING (row_id))
+  SELECT is_test, y, p FROM (SELECT is_test, avg_score AS y, [year::DOUBLE, stu_wgt::DOUBLE, floor(escs / 1000)] AS p FROM marked)
   WHERE y IS NOT NULL AND p[1] IS NOT NULL AND p[2] IS NOT NULL AND p[3] IS NOT NULL)"""
 
 
