@@ -97,3 +97,28 @@ def test_package_is_shipped_once(spark):
         yield from batches
 
     assert spark.range(3).mapInArrow(found, "id long").count() == 3
+
+
+def test_damaged_csv_gives_rows_and_problems(spark, tmp_path):
+    from weighbridge.sources import read_csv_with_problems
+
+    text = 'country,country_name,GDP_per_PPP_2022\nHKG,"Hong Kong, China",5.5\nBAD,B,1.2.3\nCUT,C\nXTR,D,2.5,more\nQUO,"lost,3.5\nNUL,,NA\nEND,E, 7 \n'
+    path = write(tmp_path / "gdp.csv", text)
+    good, problems = read_csv_with_problems(spark, path, schemas.GDP)
+    assert good.schema["GDP_per_PPP_2022"].dataType == schemas.GDP["GDP_per_PPP_2022"].dataType
+    assert rows(good)[0] == ("HKG", "Hong Kong, China", 5.5)
+    assert {r.country: r.GDP_per_PPP_2022 for r in good.collect()} == {"HKG": 5.5, "BAD": None, "CUT": None, "XTR": 2.5, "QUO": None, "NUL": None, "END": 7.0}
+    found = {r.row_text: r for r in problems.collect()}
+    assert set(found) == {"BAD,B,1.2.3", "CUT,C", "XTR,D,2.5,more", 'QUO,"lost,3.5'}
+    value = found["BAD,B,1.2.3"]
+    assert (value.column_name, value.expected, value.actual) == ("GDP_per_PPP_2022", "double", "1.2.3") and value.file.endswith("gdp.csv")
+    assert found["CUT,C"].column_name is None and found["CUT,C"].expected == "3 fields"
+    assert good.select("country").count() == 7 and problems.select("file").distinct().count() == 1
+
+
+def test_problems_need_the_declared_header(spark, tmp_path):
+    from weighbridge.sources import read_csv_with_problems
+
+    path = write(tmp_path / "gdp.csv", "land,country_name,GDP_per_PPP_2022\nHKG,H,5.5\n")
+    with pytest.raises(Exception):
+        read_csv_with_problems(spark, path, schemas.GDP)[0].collect()

@@ -7,7 +7,8 @@ from pyspark.sql import types as T
 
 from ..functions import outside, without_text
 from ..operators.columns import drop_degenerate, drop_prefixed, keep, rename, snake_case, to_strings
-from ..sources import new_path, read_csv, read_parquet, write_result
+from ..operators.reshape import append_rows
+from ..sources import new_path, read_csv, read_csv_with_problems, read_parquet, write_result
 from .registry import query
 from .tables import STUDENTS_SQL, students, table, with_tables
 
@@ -94,3 +95,30 @@ def negated(spark, sf_dir):
     return students(spark, sf_dir).select(
         outside(place, ["NATION_1", "NATION_2"]).alias("is_outside"), without_text(place, "_1").alias("is_without")
     ).groupBy("is_outside", "is_without").agg(F.count(F.lit(1)).alias("n"))
+
+
+_ACCOUNTS = T.StructType([T.StructField("key", T.IntegerType()), T.StructField("name", T.StringType()), T.StructField("balance", T.DoubleType())])
+
+
+@query("csv_problems", """
+WITH d AS (SELECT c_custkey AS key, CASE WHEN c_custkey % 11 = 0 THEN 'short' WHEN c_custkey % 13 = 0 THEN 'long' WHEN c_custkey % 7 = 0 THEN 'value' ELSE 'good' END AS kind FROM customer)
+SELECT 'rows' AS item, count(*) AS n, sum(key)::BIGINT AS keys FROM d
+UNION ALL SELECT 'balances', count(*), sum(key)::BIGINT FROM d WHERE kind IN ('good', 'long')
+UNION ALL SELECT 'problems of a row', count(*), NULL FROM d WHERE kind IN ('short', 'long')
+UNION ALL SELECT 'problems of balance', count(*), NULL FROM d WHERE kind = 'value'
+""")
+def csv_problems(spark, sf_dir):
+    """Customers written as CSV with damaged rows and numbers, read back with a table of problems."""
+    key = F.col("c_custkey")
+    line = (F.when(key % 11 == 0, F.format_string('%d,"A, B"', key)).when(key % 13 == 0, F.format_string('%d,"A, B",%.2f,more', key, F.col("c_acctbal")))
+            .when(key % 7 == 0, F.format_string('%d,"A, B",1.2.3', key)).otherwise(F.format_string('%d,"A, B",%.2f', key, F.col("c_acctbal"))))
+    path = new_path(spark, "csv-")
+    # every file starts with the header, as the CSV writer would have it
+    table(spark, sf_dir, "customer").select(line.cast("string").alias("key,name,balance")).write.option("header", True).option("quote", "").option("sep", "\t").csv(path)
+    rows, problems = read_csv_with_problems(spark, path, _ACCOUNTS)
+    kinds = rows.agg(F.array(
+        F.struct(F.lit("rows").alias("item"), F.count(F.lit(1)).alias("n"), F.sum("key").alias("keys")),
+        F.struct(F.lit("balances").alias("item"), F.count("balance").alias("n"), F.sum(F.when(F.col("balance").isNotNull(), F.col("key"))).alias("keys"))).alias("of"))
+    of_column = F.when(F.col("column_name").isNull(), "problems of a row").otherwise(F.concat(F.lit("problems of "), "column_name"))
+    counted = problems.groupBy(of_column.alias("item")).agg(F.count(F.lit(1)).alias("n"))
+    return append_rows(kinds.select(F.inline("of")), counted)
