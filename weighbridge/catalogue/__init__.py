@@ -1,4 +1,4 @@
-from . import basics, survey, tidy
+from . import basics, stored, survey, tidy
 from .registry import QUERIES, SQL, UNCHECKED
 
-__all__ = ["QUERIES", "SQL", "UNCHECKED", "basics", "survey", "tidy"]
+__all__ = ["QUERIES", "SQL", "UNCHECKED", "basics", "stored", "survey", "tidy"]

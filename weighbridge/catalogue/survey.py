@@ -329,7 +329,7 @@ def ratio_vs_score(spark, sf_dir):
     return _fit_row(line_fit(points, "avg_ratio", "weighted_avg_score"))
 
 
-def _sector_sql(on):
+def sector_sql(on):
     return with_tables(f"""
 , linked AS (SELECT student.country, school.public_private AS sector, avg_score, stu_wgt
              FROM student JOIN school ON {on}
@@ -347,7 +347,7 @@ FROM gaps JOIN region_income USING (country) WHERE world_bank_income_group IS NO
 """, REGIONS_SQL, STUDENTS_SQL, SCHOOLS_SQL)
 
 
-@query("sector_gap", _sector_sql("student.school_uid = school.school_uid"))
+@query("sector_gap", sector_sql("student.school_uid = school.school_uid"))
 def sector_gaps(spark, sf_dir):
     cycle = (LATEST,)
     return rounded(sector_gap(
@@ -355,7 +355,7 @@ def sector_gaps(spark, sf_dir):
     ))
 
 
-@query("sector_gap_fanout", _sector_sql("student.school_id = school.school_id AND student.country = school.country"))
+@query("sector_gap_fanout", sector_sql("student.school_id = school.school_id AND student.country = school.country"))
 def sector_gaps_fanout(spark, sf_dir):
     return rounded(sector_gap(
         students(spark, sf_dir, years=(LATEST,)), schools(spark, sf_dir), regions(spark, sf_dir), LATEST,

@@ -51,6 +51,19 @@ def spending_points(
     return require(_named(points, regions, roles), roles.group)
 
 
+def same_cycle_points(
+    students: DataFrame, expenditure: DataFrame, regions: DataFrame, year, roles: Roles = DEFAULT
+) -> DataFrame:
+    """Each country's newest spending figure up to ``year`` and its weighted score of that same cycle.
+
+    The wanted cycles are rows of a joined table, not literals. With students stored by cycle Spark
+    reads only the cycles that some country wants (dynamic partition pruning).
+    """
+    wanted = latest_spending(expenditure, year, roles).withColumnRenamed("expenditure_year", roles.year)
+    scores = _scores(join_on(students, wanted, [roles.country, roles.year], "inner"), [roles.country, roles.year, roles.spending], roles)
+    return require(_named(scores, regions, roles), roles.group)
+
+
 def gdp_points(students: DataFrame, gdp: DataFrame, regions: DataFrame, year, roles: Roles = DEFAULT) -> DataFrame:
     """Weighted score of one cycle and income per head, also as log10."""
     scores = _scores(students.where(F.col(roles.year) == year), [roles.country], roles)

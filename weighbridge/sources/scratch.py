@@ -8,12 +8,14 @@ own size check, a large one is shuffled.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _KEY = "spark.checkpoint.dir"
 
@@ -40,8 +42,14 @@ def new_path(spark: SparkSession, name: str = "") -> str:
     return f"{_own_folder(spark)}/{name}{uuid.uuid4().hex}"
 
 
+def _table_prefix(spark: SparkSession) -> str:
+    return "settled_" + re.sub(r"\W", "_", spark.sparkContext.applicationId).lower() + "_"
+
+
 def release(spark: SparkSession) -> None:
     """Delete everything this application has settled. Frames read from it are invalid afterwards."""
+    for found in spark.catalog.listTables(pattern=f"{_table_prefix(spark)}*"):
+        spark.sql(f"DROP TABLE IF EXISTS `{found.name}`")
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -62,3 +70,22 @@ def settle(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
     path = new_path(spark)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def settle_bucketed(df: DataFrame, keys: Sequence[str], buckets: int, hottest: float = 4.0) -> DataFrame:
+    """``settle`` in ``buckets`` buckets by ``keys``, one sorted file each, known to the session's catalog.
+
+    Tables with the same number of buckets join and group on ``keys`` without a shuffle, as often as they are read.
+    A bucket is read by one task and cannot be split, so the buckets' rows are counted first (one pass over the
+    keys): where one holds more than ``hottest`` times the average, the table is written by ``settle`` instead, and
+    its joins shuffle, which adaptive execution can split. Rows are the same either way.
+    """
+    spark = df.sparkSession
+    sizes = df.groupBy(F.pmod(F.hash(*keys), F.lit(buckets)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    largest, rows = sizes.agg(F.max("n"), F.sum("n")).first()
+    if rows and largest > hottest * rows / buckets:
+        return settle(df)
+    name = _table_prefix(spark) + uuid.uuid4().hex
+    parts = df.repartition(buckets, *keys)  # rows of a bucket in one task: one file per bucket
+    parts.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", new_path(spark)).format("parquet").saveAsTable(name)
+    return spark.table(name)
