@@ -19,18 +19,82 @@ def texts(seed, n, names=tuple(VOCABULARY)):
     return [(i, " ".join(rng.choice(VOCABULARY[names[i % len(names)]]) for _ in range(rng.randrange(3, 60))), names[i % len(names)]) for i in range(n)]
 
 
+def plain_tree(samples):
+    """Counts of the next byte after every context of up to three bytes."""
+    tree = {}
+    for text in samples:
+        data = b"   " + text.lower().encode()
+        for i in range(3, len(data)):
+            for depth in range(4):
+                tree.setdefault(data[i - depth : i], Counter())[data[i]] += 1
+    return tree
+
+
+def plain_rows(tree, context):
+    """Probabilities of all 256 byte values, by the rule of the docstring."""
+    shorter = plain_rows(tree, context[1:]) if context else [1 / 256] * 256
+    seen = tree.get(context)
+    if not seen:
+        return shorter
+    n, d = sum(seen.values()), len(seen)
+    rest = sum(p for b, p in enumerate(shorter) if b not in seen)
+    if d == 256:
+        return [seen[b] / n for b in range(256)]
+    return [seen[b] / (n + d) if b in seen else d / (n + d) * shorter[b] / rest for b in range(256)]
+
+
+def plain_bits(tree, text):
+    data = b"   " + text.lower().encode()
+    return sum(-math.log2(plain_rows(tree, data[i - 3 : i])[data[i]]) for i in range(3, len(data)))
+
+
+def scripts(seed, n):
+    """Texts whose bytes have nearly all values that UTF-8 knows."""
+    rng = random.Random(seed)
+    alphabets = ["abcdefgh ", "абвгд жз", "αβγδε ζ", "あいうえお漢字", "한국어 말", "اللغة ", "עברית ", "हिन्दी ", "ไทย ", "\U0001f600\U00010348 ", "".join(map(chr, range(0x80, 0x800, 5))) + "0123456789!?.,;"]
+    return [(i, "".join(rng.choice(alphabets[i % len(alphabets)] + "xy ") for _ in range(rng.randrange(1, 60))), f"l{i % len(alphabets) % 4}") for i in range(n)]
+
+
+def test_against_a_plain_context_tree(spark):
+    taught = scripts(11, 110)
+    trees = L.learn(spark.createDataFrame(taught, "doc_id long, text string, lang string"), sample=1000)
+    plain = {k: plain_tree([t for _, t, lang in taught if lang == k]) for k in trees.languages}
+    assert len({b for _, t, _ in taught for b in t.encode()}) > 112
+    asked = [t for _, t, _ in scripts(12, 25)] + ["", "q", "\x00\x7f", "abc"]
+    _, _, data, offsets = next(blocks(pa.array([t.lower() for t in asked])))
+    got = L.code_lengths(trees, data, offsets)
+    for i, text in enumerate(asked):
+        assert got[i].tolist() == pytest.approx([plain_bits(plain[k], text) for k in trees.languages], rel=1e-5, abs=1e-4), text
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "doc_id long, text string")
+    for r in L.identify(docs, trees).collect():
+        if r.lang_pred != "und":
+            assert r.lang_pred == trees.languages[got[r.doc_id].argmin()]
+
+
+def test_rare_contexts_are_left_out_before_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(L, "MAX_CONTEXTS", 20)
+    taught = [(i, t, "x") for i, t, _ in texts(4, 40)]
+    trees = L.learn(spark.createDataFrame(taught, "doc_id long, text string, lang string"), sample=1000)
+    tree = plain_tree([t for _, t, _ in taught])
+    long = sorted((c for c in tree if len(c) == 3), key=lambda c: (-sum(tree[c].values()), c[0] << 16 | c[1] << 8 | c[2]))
+    for context in long[20:]:
+        del tree[context]
+    grams = np.frombuffer(trees.grams[0], np.int64)
+    assert len(np.unique(grams[grams < L.CUT] >> 8)) == 20
+    asked = [t for _, t, _ in texts(5, 12)]
+    _, _, data, offsets = next(blocks(pa.array(asked)))
+    assert L.code_lengths(trees, data, offsets)[:, 0].tolist() == pytest.approx([plain_bits(tree, t) for t in asked], rel=1e-5)
+
+
 def test_rows_are_distributions(spark):
     docs = spark.createDataFrame(texts(1, 60), "doc_id long, text string, lang string")
     trees = L.learn(docs, sample=1000)
-    of, a, rows = L.tables(trees)
     assert trees.languages == ("de", "en", "fr")
-    for index, table in rows:
-        p = 2.0 ** -table.reshape(-1, a).astype(float)
-        # the last symbol stands for all bytes that were never learned
-        weight = np.ones(a)
-        weight[-1] = 256 - (a - 1)
-        assert np.all(p[:, :-1].sum(1) <= 1 + 1e-5) and np.all(p > 0)
-        assert index.shape == (a**L.DEPTH,)
+    for coder in L.tables(trees)[3]:
+        p = 2.0 ** -coder.bits.astype(float)
+        weight = np.ones(p.shape[1])
+        weight[-1] = 256 - (p.shape[1] - 1)  # the last column stands for all values that were never learned
+        assert (p @ weight) == pytest.approx(1, abs=1e-5) and np.all(p > 0)
 
 
 def test_code_lengths_by_hand(spark):

@@ -9,8 +9,9 @@ the language with the shortest code wins (ties: the first by name). The score is
 share when all languages are equally likely beforehand, 2^-bits over the sum.
 
 Letters are compared in lower case. Learning takes about ``sample`` documents a language, drawn by a
-hash of the id, with whole texts; counts are summed on the executors. The trees, not the
-texts, reach the driver: at most ``MAX_CONTEXTS`` contexts a language, the most frequent ones.
+hash of id and text, with whole texts; counts are summed on the executors. The trees, not the
+texts, reach the driver: at most ``MAX_CONTEXTS`` contexts of three bytes a language, the most frequent ones,
+chosen on the executors, and all shorter ones. All 256 byte values are told apart.
 Scoring reads every whole text and needs no shuffle.
 
 Rows: a null text, or one without a letter, is ``und`` with score 0; so is every text when nothing
@@ -26,15 +27,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import settle
 from .blocks import blocks
 
 DEPTH = 3
 SAMPLE = 800
-SYMBOLS = 112
 MAX_CONTEXTS = 40_000
+CUT = 1 << 32  # marks a gram whose longest context was left out
 UNKNOWN = "und"
 
 
@@ -54,77 +56,95 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 @dataclasses.dataclass(frozen=True)
 class Trees:
-    """Counts of 4-byte grams by language: the leaves of the context trees."""
+    """Counts of 4-byte grams by language: the leaves of the context trees. Grams with CUT set lack their farthest byte."""
 
     languages: tuple[str, ...]
     grams: tuple[bytes, ...]
     counts: tuple[bytes, ...]
 
 
+@dataclasses.dataclass(frozen=True)
+class Coder:
+    """One language: the row of every shared context, its own byte -> column, and rows of code lengths in bits."""
+
+    index: np.ndarray
+    column: np.ndarray
+    bits: np.ndarray
+
+
 @functools.lru_cache(maxsize=1)
-def tables(trees: Trees):
-    """(byte -> symbol, per language: 3-symbol context -> row, rows of code lengths in bits)."""
-    grams = [np.frombuffer(g, np.uint32) for g in trees.grams]
+def tables(trees: Trees) -> tuple[np.ndarray, int, np.ndarray, list[Coder]]:
+    """(byte -> symbol, symbols, pair of nearest symbols -> number, coder of every language).
+
+    Contexts are numbered alike for all languages, by the pair of the two nearest bytes and the third one. A
+    byte value that a language never learned has one column for all such values; the weight of that column is their number.
+    """
+    cut = [np.frombuffer(g, np.int64) >= CUT for g in trees.grams]
+    grams = [np.frombuffer(g, np.int64) & (CUT - 1) for g in trees.grams]
     counts = [np.frombuffer(c, np.int64) for c in trees.counts]
-    often = np.zeros(256, np.int64)
-    for g, c in zip(grams, counts):
-        for shift in (0, 8, 16, 24):
-            np.add.at(often, (g >> np.uint32(shift)) & np.uint32(255), c)
-    symbols = np.argsort(-often, kind="stable")[:SYMBOLS]
-    symbols = np.sort(symbols[often[symbols] > 0])
-    a = len(symbols) + 1  # the last symbol stands for any other byte
+    near = [[(g >> (8 * k)) & 255 for k in range(DEPTH + 1)] for g in grams]  # near[j][0] is the byte itself
+    values = np.unique(np.concatenate([[32], *[s[k] for s in near for k in (1, 2)], *[s[3][~c] for s, c in zip(near, cut)]]))
+    a = len(values) + 1  # the last symbol stands for bytes in no known context
     of = np.full(256, a - 1, np.int64)
-    of[symbols] = np.arange(len(symbols))
-    uniform = np.full(a, 1 / 256)
-    all_rows = []
-    for g, c in zip(grams, counts):
-        s = [of[(g >> np.uint32(8 * k)) & np.uint32(255)] for k in range(DEPTH + 1)]  # s[0] is the byte itself
-        index = np.zeros(1, np.int64)
-        probabilities = _blend(np.bincount(s[0], c, a)[None, :], uniform[None, :])
-        parent = np.zeros(1, np.int64)
-        for depth in range(1, DEPTH + 1):
-            context = sum(s[k] * a ** (k - 1) for k in range(1, depth + 1))  # the nearest byte is the lowest digit
-            known, row = np.unique(context, return_inverse=True)
-            if depth == DEPTH and len(known) > MAX_CONTEXTS:
-                keep = np.sort(np.argsort(-np.bincount(row, c), kind="stable")[:MAX_CONTEXTS])
-                chosen = np.isin(row, keep)
-                known, row, symbol, weight = known[keep], np.searchsorted(keep, row[chosen]), s[0][chosen], c[chosen]
-            else:
-                symbol, weight = s[0], c
-            seen = np.bincount(row * a + symbol, weight, len(known) * a).reshape(-1, a)
-            index = np.tile(index, a)  # contexts one byte longer start from the shorter one's row
-            parent = index[known]
-            index[known] = len(probabilities) + np.arange(len(known))
-            probabilities = np.concatenate([probabilities, _blend(seen, probabilities[parent])])
-        all_rows.append((index.astype(np.int32), (-np.log2(probabilities)).astype(np.float32).ravel()))
-    return of.astype(np.int32), a, all_rows
-
-
-def _blend(seen: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+    of[values] = np.arange(len(values))
+    known_pairs = np.unique(np.concatenate([of[s[1]] + a * of[s[2]] for s in near]))
+    pair = np.tile(len(known_pairs) + np.arange(a), a)  # an unknown pair counts as its nearest byte
+    pair[known_pairs] = np.arange(len(known_pairs))
+    nearest = np.concatenate([known_pairs % a, np.arange(a)])
+    coders = []
+    for s, c, short in zip(near, counts, cut):
+        seen_bytes = np.unique(s[0])
+        width = len(seen_bytes) + 1
+        column = np.full(256, width - 1, np.int64)
+        column[seen_bytes] = np.arange(width - 1)
+        weight = np.ones(width)
+        weight[-1] = 256 - len(seen_bytes)
+
+        def deeper(rows: np.ndarray, contexts: np.ndarray, among: np.ndarray, parents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """(contexts seen, rows with theirs appended); ``parents`` has the row of every shorter context."""
+            found, which = np.unique(contexts, return_inverse=True)
+            seen = np.bincount(which * width + column[s[0][among]], c[among], len(found) * width).reshape(-1, width)
+            return found, np.concatenate([rows, _blend(seen, rows[parents[found]], weight)])
+
+        every = np.ones(len(c), bool)
+        rows = _blend(np.bincount(column[s[0]], c, width)[None, :], np.full((1, width), 1 / 256), weight)
+        index = np.zeros(a, np.int64)
+        for depth, contexts, among in ((1, of[s[1]], every), (2, pair[of[s[1]] + a * of[s[2]]], every), (3, (pair[of[s[1]] + a * of[s[2]]] * a + of[s[3]])[~short], ~short)):
+            parents = index if depth == 1 else index[nearest] if depth == 2 else np.repeat(index, a)
+            found, more = deeper(rows, contexts, among, parents)
+            index = parents.copy()
+            index[found] = len(rows) + np.arange(len(found))
+            rows = more
+        coders.append(Coder(index.astype(np.int32), column.astype(np.int32), (-np.log2(np.maximum(rows, 1e-300))).astype(np.float32)))
+    return of.astype(np.int32), a, pair.astype(np.int32), coders
+
+
+def _blend(seen: np.ndarray, shorter: np.ndarray, weight: np.ndarray) -> np.ndarray:
     n, d = seen.sum(1, keepdims=True), (seen > 0).sum(1, keepdims=True)
     left = np.where(seen > 0, 0, shorter)
-    rest = left.sum(1, keepdims=True)
+    rest = (left * weight).sum(1, keepdims=True)
     escape = np.where(rest > 0, d / np.maximum(n + d, 1), 0)
     return np.where(seen > 0, seen * (1 - escape) / np.maximum(n, 1), escape * left / np.where(rest > 0, rest, 1))
 
 
 def code_lengths(trees: Trees, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Bits of every row under every language."""
-    of, a, rows = tables(trees)
+    of, a, pair, coders = tables(trees)
     n = len(data)
     code = of[data]
-    spaces = of[32]
     place = np.arange(n, dtype=np.int32) - np.repeat(offsets[:-1], np.diff(offsets)).astype(np.int32)
-    context = np.zeros(n, np.int32)
-    for k in range(1, DEPTH + 1):
-        before = np.full(n, spaces, np.int32)
-        before[k:] = code[: max(n - k, 0)]
-        before[place < k] = spaces
-        context += before * np.int32(a ** (k - 1))
-    bits = np.zeros((len(offsets) - 1, len(rows)))
-    for j, (index, table) in enumerate(rows):
+
+    def before(k: int) -> np.ndarray:
+        symbols = np.full(n, of[32], np.int32)
+        symbols[k:] = code[: max(n - k, 0)]
+        symbols[place < k] = of[32]
+        return symbols
+
+    context = pair[before(1) + np.int32(a) * before(2)] * np.int32(a) + before(3)
+    bits = np.zeros((len(offsets) - 1, len(coders)))
+    for j, coder in enumerate(coders):
         sums = np.zeros(n + 1)
-        np.cumsum(table[index[context] * np.int64(a) + code], dtype=np.float64, out=sums[1:])
+        np.cumsum(coder.bits.ravel()[coder.index[context] * np.int64(coder.bits.shape[1]) + coder.column[data]], dtype=np.float64, out=sums[1:])
         bits[:, j] = sums[offsets[1:]] - sums[offsets[:-1]]
     return bits
 
@@ -132,13 +152,13 @@ def code_lengths(trees: Trees, data: np.ndarray, offsets: np.ndarray) -> np.ndar
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Trees:
     """Context trees from ``docs(doc_id, text, lang)``."""
     known = docs.select("doc_id", "text", "lang").filter("lang is not null and text is not null and text <> ''")
-    shares = {r.lang: sample / r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    shares = [(r.lang, sample / r.n) for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()]
     if not shares:
         return Trees((), (), ())
     spark = docs.sparkSession
-    limits = spark.createDataFrame([(k, int(min(v, 1.0) * (1 << 20))) for k, v in shares.items()], "lang string, below int")
-    pick = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20))
-    some = known.join(F.broadcast(limits), "lang").filter(pick < F.col("below")).select("lang", F.lower("text").alias("text"))
+    limits = spark.createDataFrame(shares, "lang string, share double")
+    place = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("language"), "text"), 11) / F.lit(2.0**53)  # 0 to 1 in steps of 2^-53
+    some = known.join(F.broadcast(limits), "lang").filter(place < F.col("share")).select("lang", F.lower("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,11 +173,26 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Trees:
 
     summed = some.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     found: dict[str, list] = {}
-    for r in summed.collect():
+    for r in _bounded(settle(summed)).collect():
         found.setdefault(r.lang, []).append((r.gram, r.n))
     names = tuple(sorted(found))
     rows = [np.array(sorted(found[k]), np.int64) for k in names]
-    return Trees(names, tuple(r[:, 0].astype(np.uint32).tobytes() for r in rows), tuple(r[:, 1].copy().tobytes() for r in rows))
+    return Trees(names, tuple(r[:, 0].copy().tobytes() for r in rows), tuple(r[:, 1].copy().tobytes() for r in rows))
+
+
+def _bounded(grams: DataFrame) -> DataFrame:
+    """``grams`` with the MAX_CONTEXTS most frequent longest contexts a language (ties: the smaller code).
+
+    The counts of the others stay in their two nearest bytes, so shorter contexts lose nothing. Ranked are
+    contexts of the drawn texts, not rows of the corpus.
+    """
+    longest = F.shiftright("gram", 8)
+    sums = grams.groupBy("lang", longest.alias("context")).agg(F.sum("n").alias("m"))
+    order = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("m"), "context"))
+    kept = sums.select("lang", "context", (order > MAX_CONTEXTS).alias("cut"))
+    shorter = F.col("gram").bitwiseAND(F.lit((1 << 24) - 1)) + F.lit(CUT)
+    marked = grams.withColumn("context", longest).join(kept, ["lang", "context"])
+    return marked.groupBy("lang", F.when(F.col("cut"), shorter).otherwise(F.col("gram")).alias("gram")).agg(F.sum("n").alias("n"))
 
 
 def identify(docs: DataFrame, trees: Trees) -> DataFrame:
