@@ -1,6 +1,8 @@
 """op3: gradients, held-out accuracy and edge rows."""
 
+import math
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -83,3 +85,52 @@ def test_query(spark, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     rows = got.join(labels, "doc_id").filter("held_out").agg(F.avg((F.col("predicted") == F.col("quality")).cast("double")).alias("a")).first()
     assert got.count() == spark.read.parquet(f"{sf}/documents.parquet").count() and rows.a > 0.8
+
+
+def plain_score(model, text):
+    """The docstring's rule passage by passage, without arrays over all passages."""
+    data = (text or "").encode()
+    starts = [(m.start(), m.group()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+    gates, states = [], []
+    for at in range(0, max(len(data), 1), quality.PASSAGE_BYTES):
+        part = data[at : at + quality.PASSAGE_BYTES]
+        x = np.zeros(quality.FEATURES)
+        before = quality._CLASSES - 1
+        for byte in part:
+            x[before * quality._CLASSES + int(quality._KIND[byte])] += 1
+            before = int(quality._KIND[byte])
+        x[:-4] = np.sqrt(x[:-4] / max(len(part), 1))
+        here = [w for s, w in starts if at <= s < at + quality.PASSAGE_BYTES]
+        x[-4] = sum(a == b for a, b in zip(here, here[1:])) / max(len(here), 1)
+        x[-3], x[-2], x[-1] = len(set(here)) / max(len(here), 1), math.log1p(len(here)) / 5, math.log1p(len(part)) / 6
+        w = model.weights
+        h = np.tanh(((x - model.mean) / model.scale) @ w["W"] + w["b"])
+        gates.append(float(w["w"] @ (np.tanh(w["V"].T @ h) / (1 + np.exp(-(w["U"].T @ h))))))
+        states.append(h)
+    share = np.exp(np.array(gates) - max(gates))
+    z = sum(a * h for a, h in zip(share / share.sum(), states))
+    return 1 / (1 + math.exp(-(z @ model.weights["c"] + model.weights["d"])))
+
+
+def test_scores_against_a_plain_forward_pass(spark):
+    docs, labels = labelled(160)
+    model = quality.train(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"))
+    asked = [(i, t) for i, t in docs[:30]] + [(900, None), (901, ""), (902, "  \n "), (903, "ab " * 900 + "?" * 700), (904, "é漢 word word\tword"), (905, "x" * 1024)]
+    got = {r.doc_id: r.score for r in quality.score(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    for i, text in asked:
+        assert abs(got[i] - plain_score(model, text)) < 1e-4, (i, text)
+
+
+def test_training_is_bounded(spark, monkeypatch):
+    docs, labels = labelled(60)
+    bags = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: bags.append([len(b) for b in x]))
+    hot = docs + [(docs[0][0], docs[0][1])] * 300 + [(docs[0][0], f"other text {i}") for i in range(300)] + [(docs[1][0], None)]
+    frames = [spark.createDataFrame(rows, "doc_id long, text string") for rows in (docs, hot)]
+    known = spark.createDataFrame(labels, "doc_id long, quality int")
+    for frame in frames:
+        quality.train(frame, known)
+    assert len(bags[0]) == len(bags[1]) == len({i for i, _ in labels})
+    monkeypatch.setattr(quality, "PASSAGES", sum(bags[0]) // 2)
+    quality.train(frames[0], known)
+    assert 0 < sum(bags[2]) <= sum(bags[0]) // 2
