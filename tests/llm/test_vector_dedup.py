@@ -107,3 +107,17 @@ def test_recall_of_pairs_at_the_threshold(spark):
     got = near_vectors(vectors(spark, *rows).selectExpr("vec_id", "embedding AS v"), window=64)
     assert got.filter("n_links > 0").count() >= 0.98 * 3000
     assert got.filter("vec_id < 1500 and component_id != vec_id").count() == 0
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_copies_of_a_salted_table_are_not_broadcast(spark, how):
+    from weighbridge.llm.vector_dedup import _salted_join
+    from weighbridge.sources import settle
+
+    rows = settle(spark.createDataFrame([(i % 3, i) for i in range(60)], "ball long, node long"))
+    table = settle(spark.createDataFrame([(0, "a"), (1, "b")], "ball long, name string"))
+    joined = _salted_join(rows, table, "ball", "node", how)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    want = [(i % 3, i, "abc"[i % 3] if i % 3 < 2 else None) for i in range(60) if how == "left" or i % 3 < 2]
+    assert row_set(joined.select("ball", "node", "name")) == sorted(want, key=repr)

@@ -107,10 +107,13 @@ def _signs(vectors: np.ndarray) -> np.ndarray:
 
 
 def _salted_join(rows: DataFrame, table: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
-    """``rows`` with the columns of ``table``, one row per ``key``; a key that many rows hold is dealt to SALTS tasks."""
+    """``rows`` with the columns of ``table``, one row per ``key``; a key that many rows hold is dealt to SALTS tasks.
+
+    The copies are never broadcast: Spark would size them by the file of ``table`` alone, and the driver would hold all SALTS of them.
+    """
     dealt = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
     copies = table.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return dealt.join(copies, [key, "salt"], how).drop("salt")
+    return dealt.join(copies.hint("merge"), [key, "salt"], how).drop("salt")
 
 
 def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
